@@ -27,9 +27,9 @@ from .common import mix64, stash
 from .vectors import bytes_matrix, matrix, smallest_ids, valid_vectors
 
 #: Neighbours kept, trees and size of their blocks, rounds of descent, reverse neighbours joined.
-DEGREE, TREES, BLOCK, DESCENTS, REVERSE = 24, 6, 384, 3, 24
+DEGREE, TREES, BLOCK, DESCENTS, REVERSE = 48, 6, 384, 4, 48
 #: Beam of a query, nodes expanded a round, rounds.
-BEAM, EXPAND, ROUNDS = 96, 24, 5
+BEAM, EXPAND, ROUNDS = 128, 32, 5
 
 
 def unit_nodes(table: DataFrame, id_col: str, vector_col: str, ids: int) -> tuple[DataFrame, int]:
