@@ -8,7 +8,7 @@ fitted by gradient ascent on the chain's likelihood. The forward-backward margin
 offending spans; with the number of words they give the document's score through a logistic
 regression fitted to the same labels.
 
-The model is fitted on at most about ``fit_rows`` toxic and three times as many clean documents of
+The model is fitted on at most about ``fit_rows`` toxic and four times as many clean documents of
 no more than ``fit_bytes`` bytes each, chosen by a hash of doc_id; the chain's weights on at most
 ``CHAIN_ROWS`` of each label.
 
@@ -20,6 +20,7 @@ result; other columns are passed through by ``score`` only if named in ``keep``.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ from .lang_id import held_out
 
 BUCKETS, PREFIXES = 1 << 18, (4, 5, 6, 7, 8)
 #: A feature marks toxic tokens at this log ratio of document shares, and in this share of toxic documents.
-RATIO, SUPPORT, CLEAN_TIMES = 2.5, 0.015, 3
+RATIO, SUPPORT, CLEAN_TIMES = 2.5, 0.015, 4
 STEPS, RATE, DECAY, CHAIN_ROWS = 15, 1.0, 1e-5, 500
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -101,8 +102,10 @@ def label_tokens(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
     shares = []
     for label in (1, 0):
         own = toxic[tokens.rows] == label
-        pairs = np.unique(tokens.features[own].astype(np.int64) + tokens.rows[own][:, None] * BUCKETS)
-        shares.append(np.bincount(pairs % BUCKETS, minlength=BUCKETS))
+        count = np.zeros(BUCKETS, np.int64)
+        for k in range(tokens.features.shape[1]):  # a feature's column is in its hash, so columns don't meet
+            count += np.bincount(np.unique(tokens.features[own, k] + tokens.rows[own] * BUCKETS) % BUCKETS, minlength=BUCKETS)
+        shares.append(count)
     many = [max(1, int((toxic == label).sum())) for label in (1, 0)]
     ratio = np.log((shares[0] + 0.5) / (many[0] + 1)) - np.log((shares[1] + 0.5) / (many[1] + 1))
     marks = (ratio >= RATIO) & (shares[0] >= max(3, SUPPORT * many[0]))
@@ -168,7 +171,11 @@ def train(tokens: Tokens, toxic: np.ndarray, odds: float) -> ToxicityModel:
         step_squares += (seen - expected) ** 2
         log_steps = log_steps + 0.5 * RATE * (seen - expected) / np.sqrt(step_squares)
         model.steps = np.exp(log_steps - log_steps.max())
-    inputs = summary(everything, model.marginals(everything))
+    parts = []
+    for k in range(0, len(every_label), 300):
+        part = some_rows(everything, (np.arange(len(every_label)) >= k) & (np.arange(len(every_label)) < k + 300))
+        parts.append(summary(part, model.marginals(part)))
+    inputs = np.concatenate(parts)
     model.curve = fit_curve(inputs, every_label.astype(float), np.where(every_label == 1, 1.0, odds))
     return model
 
@@ -187,7 +194,7 @@ def fit_curve(inputs: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarr
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1200, fit_bytes: int = 1 << 16) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1000, fit_bytes: int = 1 << 16) -> ToxicityModel:
     """A model of the labelled documents that aren't held out."""
     need(docs, "doc_id", "text")
     need(labels, "doc_id", "toxic")
@@ -200,13 +207,26 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1200, fit_bytes: int
     chance = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.where(chance < F.when(F.col("toxic") == 1, fit_rows / few).otherwise(CLEAN_TIMES * fit_rows / many))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= fit_bytes)
-    # The sample has about (1 + CLEAN_TIMES) * fit_rows rows, whatever the tables' sizes.
-    sample = rows.join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "text", "toxic").select("text", "toxic").toArrow()
-    toxic = sample.column("toxic").to_numpy().astype(np.int64)
-    if not (toxic == 1).any() or not (toxic == 0).any():
-        return empty
-    odds = many / few * (toxic == 1).sum() / (toxic == 0).sum()
-    return train(tokens_of(*text_buffer(sample.column("text"))), toxic, float(odds))
+    # The sample has about (1 + CLEAN_TIMES) * fit_rows rows, whatever the tables' sizes; one task fits the model.
+    sample = rows.join(F.broadcast(drawn), "doc_id").repartition(1).sortWithinPartitions("doc_id", "text", "toxic").select("text", "toxic")
+
+    def run(batches):
+        parts, toxic = [], []
+        for batch in batches:
+            for part in slices(batch, "text"):
+                parts.append(tokens_of(*text_buffer(part.column("text"))))
+                toxic.append(part.column("toxic").to_numpy().astype(np.int64))
+        labels = np.concatenate(toxic) if toxic else np.zeros(0, np.int64)
+        if (labels == 1).any() and (labels == 0).any():
+            firsts = np.cumsum([0] + [len(p.counts) for p in parts])
+            of = np.concatenate([p.rows + f for p, f in zip(parts, firsts)])
+            features, counts = np.concatenate([p.features for p in parts]), np.concatenate([p.counts for p in parts])
+            odds = many / few * (labels == 1).sum() / (labels == 0).sum()
+            model = train(Tokens(of, of, of, features, counts), labels, float(odds))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    found = sample.mapInArrow(run, "model binary").collect()
+    return pickle.loads(bytes(found[0].model)) if found else empty
 
 
 SPANS = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("probability", T.DoubleType())]))
