@@ -34,7 +34,10 @@ class MaxSum:
 
 
 class SumProduct:
-    """Weights; ``steps[i, j]`` is that of going from state i to state j."""
+    """Weights; ``steps[i, j]`` is that of going from state i to state j.
+
+    A chain is entered from, and left to, any state alike, each with its step.
+    """
 
     def __init__(self, steps: np.ndarray):
         self.steps = steps
