@@ -15,7 +15,6 @@ read.
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,22 +27,27 @@ SAMPLES, ROUNDS = 8192, 4
 LOWEST = -(1 << 63)
 
 
-def before(splitter: tuple[int, int]) -> Column:
-    """Whether a record's key lies before the splitter."""
-    h, d = splitter
-    return (F.col("h") < F.lit(h)) | ((F.col("h") == F.lit(h)) & (F.col("d") < F.lit(d)))
+def before(splitter: tuple[int, int]) -> str:
+    """SQL: whether a record's key lies before the splitter."""
+    h, d = map(number, splitter)
+    return f"(h < {h} OR (h = {h} AND d < {d}))"
+
+
+def number(value: int) -> str:
+    """SQL of a long; the lowest one has no literal of its own."""
+    return f"{value}L" if value != LOWEST else f"({LOWEST + 1}L - 1L)"
 
 
 def range_of(splitters: list[tuple[int, int]]) -> Column:
     """Number of splitters at or before the record's key: a balanced tree of comparisons."""
 
-    def tree(low: int, high: int) -> Column:
+    def tree(low: int, high: int) -> str:
         if low == high:
-            return F.lit(low)
+            return str(low)
         middle = (low + high) // 2
-        return F.when(before(splitters[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
+        return f"IF({before(splitters[middle])}, {tree(low, middle)}, {tree(middle + 1, high)})"
 
-    return tree(0, len(splitters))
+    return F.expr(tree(0, len(splitters)))
 
 
 def sampled(keys: DataFrame, rate: float, seed: int) -> list[tuple[int, int]]:
@@ -104,7 +108,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges: int = 256, whole_
     for k in sorted(sums):
         bytes_before[k] = at
         at += sums[k]["bytes"]
-    first = lookup(bytes_before, "range")
+    first = lookup(bytes_before, "`range`")
     order = W.partitionBy("range").orderBy("h", "d", "row")
     group = W.partitionBy("range", "h")
     placed = (
@@ -127,7 +131,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges: int = 256, whole_
         for c in sorted((c for c in counts if c["shard"] == s), key=lambda c: c["range"]):
             earlier[s, c["range"]] = at
             at += c["count"]
-    slot = lookup({s * (len(splitters) + 1) + r: n for (s, r), n in earlier.items()}, F.col("shard") * F.lit(len(splitters) + 1) + F.col("range"))
+    slot = lookup({s * (len(splitters) + 1) + r: n for (s, r), n in earlier.items()}, f"shard * {len(splitters) + 1} + `range`")
     return placed.select(
         "doc_id",
         "size",
@@ -139,10 +143,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, ranges: int = 256, whole_
     )
 
 
-def lookup(values: dict[int, int], key: str | Column) -> Column:
+def lookup(values: dict[int, int], key: str) -> Column:
     """The value of an integer key, from a literal map with an entry for each range at most."""
-    column = F.col(key) if isinstance(key, str) else key
     if not values:
         return F.lit(0).cast("long")
-    entries = reduce(lambda a, b: a + b, ([F.lit(k), F.lit(v).cast("long")] for k, v in values.items()))
-    return F.element_at(F.create_map(*entries), column)
+    return F.expr(f"element_at(map({', '.join(f'{k}, {v}L' for k, v in values.items())}), {key})")
