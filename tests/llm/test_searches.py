@@ -78,6 +78,15 @@ def test_near_duplicates_of_nothing(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_null_and_repeated_ids_between_texts(spark):
+    w = [f"w{i}" for i in range(40)]
+    near = lambda *at: " ".join("x" if i in at else t for i, t in enumerate(w))
+    # Only the text without an id links the other two; id 9 stands at an unrelated text as well.
+    rows = [(9, near(0, 1, 2)), (None, near()), (4, near(37, 38, 39)), (9, "another text of quite other words"), (2, near(20, 10, 30))]
+    found = [tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=str) == sorted(brute_classes(rows), key=str)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7), (None, 3)], "a long, b long")
     found = dict(map(tuple, connected_components(links).collect()))

@@ -407,8 +407,10 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     )
     links = subtree_links(cells.join(left.select("entity", "size", "tokens"), "entity"))
     named = classes.select("entity", "first_id")
-    links = links.join(named.withColumnsRenamed({"entity": "a", "first_id": "id_a"}), "a").join(named.withColumnsRenamed({"entity": "b", "first_id": "id_b"}), "b")
-    roots = connected_components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    of_class = named.join(roots, named.first_id == roots.id, "left").select("entity", F.coalesce("root", "first_id").alias("component_id"))
+    # Classes are of entities, not of ids: ids may be null or stand at several texts.
+    roots = connected_components(links).join(named, F.col("id") == F.col("entity")).select("entity", "root", "first_id")
+    least = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    joined = roots.join(least, "root").select("entity", "least_id")
+    of_class = named.join(joined, "entity", "left").select("entity", F.coalesce("least_id", "first_id").alias("component_id"))
     empty = sets.where("entity IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.join(of_class, "entity").select("doc_id", "n_shingles", "component_id").unionByName(empty)
