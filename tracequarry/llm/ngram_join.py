@@ -405,7 +405,7 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("hub", "entity", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
-    links = subtree_links(cells.join(left.select("entity", "size", "tokens"), "entity"))
+    links = stash(subtree_links(cells.join(left.select("entity", "size", "tokens"), "entity")), "subtree-links")
     named = classes.select("entity", "first_id")
     # Classes are of entities, not of ids: ids may be null or stand at several texts.
     roots = connected_components(links).join(named, F.col("id") == F.col("entity")).select("entity", "root", "first_id")
