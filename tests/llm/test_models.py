@@ -91,3 +91,13 @@ def test_toxicity(spark):
     flat = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
     assert {f.score for f in toxicity.score(docs, flat, spans=False).collect()} == {flat.constant}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_repeated_ids_count_once_in_fits(spark):
+    docs = language_docs(spark).where("doc_id IS NOT NULL")
+    once, copies = docs.dropDuplicates(["doc_id"]), docs.where("doc_id = 4").crossJoin(spark.range(300)).drop("id")
+    a, b = lang_id.fit(once, fit_rows=1000), lang_id.fit(docs.unionByName(copies), fit_rows=1000)
+    assert a.languages == b.languages and (a.weights == b.weights).all() and (a.allowed == b.allowed).all()
+    labels = [(i, int(i % 3 == 0)) for i in range(240)]
+    a, b = (toxicity.fit(d, spark.createDataFrame(rows, "doc_id long, toxic int"), fit_rows=5000) for d, rows in ((once, labels), (docs.unionByName(copies), labels * 2)))
+    assert (a.weights == b.weights).all() and (a.steps == b.steps).all()

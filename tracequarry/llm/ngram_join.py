@@ -37,6 +37,8 @@ from .components import connected_components
 
 #: Tokens that a range holds on average, and that a map task gathers before it sends them on.
 RANGE_TOKENS, FLUSH_TOKENS = 1_500_000, 3_000_000
+#: Ranges at most: with 100 TB of text each then holds about 16 million tokens.
+RANGES_MOST = 1 << 20
 #: Documents sampled to find very frequent tokens, the share of them that makes a token so, and how many at most.
 HOT_SAMPLE, HOT_SHARE, HOT_MOST = 4000, 0.004, 16_384
 #: Entities in a task beyond which its subtree is cut into blocks of half that size.
@@ -390,7 +392,7 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     filled = sets.where("entity IS NOT NULL")
     classes = stash(filled.groupBy("entity").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("hot").alias("hot")), "classes")
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    ranges = int(min(16_384, max(16, total // RANGE_TOKENS)))
+    ranges = int(min(RANGES_MOST, max(16, total // RANGE_TOKENS)))
     shared = shared_tokens(spread_tokens(texts, n, hot, ranges), ranges)
     left = stash(survivors(shared, classes, ranges), "survivors")
     postings = left.select("entity", "index", F.posexplode(F.slice("tokens", F.lit(1), F.col("probes"))).alias("place", "token"))

@@ -9,8 +9,8 @@ offending spans; with the number of words they give the document's score through
 regression fitted to the same labels.
 
 The model is fitted on at most about ``fit_rows`` toxic and four times as many clean documents of
-no more than ``fit_bytes`` bytes each, chosen by a hash of doc_id; the chain's weights on at most
-``CHAIN_ROWS`` of each label.
+no more than ``fit_bytes`` bytes each, chosen by a hash of doc_id (of rows that repeat a doc_id the
+least text counts); the chain's weights on at most ``CHAIN_ROWS`` of each label.
 
 Defined cases: a null or empty text has the score of a text without toxic words and no spans;
 without documents of both labels every score is the smoothed share of toxic ones; null labels and
@@ -205,10 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1000, fit_bytes: int
     if not few or not many:
         return empty
     chance = F.pmod(F.xxhash64("doc_id", F.lit("toxic")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.where(chance < F.when(F.col("toxic") == 1, fit_rows / few).otherwise(CLEAN_TIMES * fit_rows / many))
+    drawn = known.where(chance < F.when(F.col("toxic") == 1, fit_rows / few).otherwise(CLEAN_TIMES * fit_rows / many)).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= fit_bytes)
     # The sample has about (1 + CLEAN_TIMES) * fit_rows rows, whatever the tables' sizes; one task fits the model.
-    sample = rows.join(F.broadcast(drawn), "doc_id").repartition(1).sortWithinPartitions("doc_id", "text", "toxic").select("text", "toxic")
+    # One row an id and label: a repeated id, even a third of all rows, doesn't make the sample grow.
+    once = rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sample = once.repartition(1).sortWithinPartitions("doc_id", "text", "toxic").select("text", "toxic")
 
     def run(batches):
         parts, toxic = [], []
