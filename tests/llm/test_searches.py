@@ -140,3 +140,20 @@ def test_nn_descent_recall(spark):
     few = nn_descent.top_k(table(spark, x).where("vec_id < 3"), 5, "vec_id", "embedding", F.col("id") == 0)
     assert sorted(r.vec_id for r in few.collect()) == [1, 2]
     assert nn_descent.top_k(table(spark, x).limit(0), 5, "vec_id", "embedding", F.col("id") == 0).count() == 0
+
+
+def test_nn_descent_goes_on_until_settled(spark, monkeypatch):
+    for name, value in {"DEGREE": 12, "TREES": 2, "BLOCK": 4, "REVERSE": 12, "BEAM": 48, "EXPAND": 1}.items():
+        monkeypatch.setattr(nn_descent, name, value)
+    nodes, dimension = nn_descent.unit_nodes(table(spark, vectors(4, 1500)), "vec_id", "embedding", 6)
+    graph = nn_descent.build_graph(nodes, dimension)
+    edges = {(r.node, r.other) for r in graph.collect()}
+    again = {(r.node, r.other) for r in nn_descent.descend(graph, nodes).collect()}
+    assert len(again - edges) <= 0.002 * len(again)
+    # The walk ends where no neighbour of its beam is nearer than what the beam holds.
+    starts = nodes.where("node = 0").select(F.lit(-1).cast("long").alias("query"), "node").crossJoin(nodes.where("node = 700").select("unit"))
+    beam = {r.node: r.near for r in nn_descent.greedy_search(starts, graph, nodes).collect()}
+    unit = {r.node: np.frombuffer(r.unit, np.float32) for r in nodes.collect()}
+    links = [(r["at"], r.node) for r in nn_descent.around(graph).collect()]
+    beyond = {b for a, b in links if a in beam} - set(beam)
+    assert len(beam) > 5 and all(unit[b] @ unit[700] <= min(beam.values()) + 1e-6 for b in beyond)

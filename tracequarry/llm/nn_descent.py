@@ -2,9 +2,10 @@
 
 Equal vectors share one node. Each node starts with near nodes of small random-hyperplane blocks.
 Then, round by round, each node joins its neighbours and some nodes that it is a neighbour of; all
-pairs that meet at a node are compared, and each node keeps its nearest. Queries walk the graph: the
-best nodes of a query's beam that were not yet expanded give way to their neighbours, until the
-beam has none left or the rounds end. The nearest found are scored again in double precision.
+pairs that meet at a node are compared, and each node keeps its nearest, until a round changes few
+of the edges. Queries walk the graph: the best nodes of a query's beam that were not yet expanded
+give way to their neighbours, until the beam has none left. The nearest found are scored again in
+double precision.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most, or that hold null
 or non-finite components take no part, nor do rows with a null id; equal vectors have equal scores,
@@ -26,10 +27,12 @@ from pyspark.sql import types as T
 from .common import mix64, stash
 from .vectors import bytes_matrix, matrix, smallest_ids, valid_vectors
 
-#: Neighbours kept, trees and size of their blocks, rounds of descent, reverse neighbours joined.
-DEGREE, TREES, BLOCK, DESCENTS, REVERSE = 48, 6, 384, 4, 48
-#: Beam of a query, nodes expanded a round, rounds.
-BEAM, EXPAND, ROUNDS = 128, 32, 5
+#: Neighbours kept, trees and size of their blocks, reverse neighbours joined.
+DEGREE, TREES, BLOCK, REVERSE = 48, 6, 384, 48
+#: The descent ends with the round after which at most this share of the edges is new.
+SETTLED = 0.001
+#: Beam of a query, nodes expanded a round.
+BEAM, EXPAND = 128, 32
 
 
 def unit_nodes(table: DataFrame, id_col: str, vector_col: str, ids: int) -> tuple[DataFrame, int]:
@@ -60,14 +63,14 @@ def planes_of(dimension: int, bits: int) -> np.ndarray:
 
 
 def nearest(edges: DataFrame, many: int) -> DataFrame:
-    """Each node's ``many`` nearest distinct neighbours."""
-    best = edges.groupBy("node", "other").agg(F.max("near").alias("near"))
+    """Each node's ``many`` nearest distinct neighbours; an edge is fresh if it is so wherever it occurs."""
+    best = edges.groupBy("node", "other").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("near"), "other"))
     return best.withColumn("place", place).where(F.col("place") <= many).drop("place")
 
 
 def first_graph(nodes: DataFrame, dimension: int, count: int) -> DataFrame:
-    """node, other, near: neighbours within random-hyperplane blocks; a large block is dealt into several."""
+    """node, other, near, fresh: neighbours within random-hyperplane blocks; a large block is dealt into several."""
     bits = max(0, math.ceil(math.log2(max(1, count) / BLOCK)))
     planes = planes_of(dimension, max(bits, 1))
 
@@ -93,7 +96,7 @@ def first_graph(nodes: DataFrame, dimension: int, count: int) -> DataFrame:
         return pa.table({"node": np.repeat(names, k), "other": names[best.ravel()], "near": np.take_along_axis(near, best, 1).ravel()})
 
     found = placed.groupBy("tree", "code", "cut").applyInArrow(compare, "node long, other long, near float")
-    return stash(nearest(found, DEGREE), "graph")
+    return stash(nearest(found.withColumn("fresh", F.lit(True)), DEGREE), "graph")
 
 
 def around(graph: DataFrame) -> DataFrame:
@@ -103,7 +106,7 @@ def around(graph: DataFrame) -> DataFrame:
 
 
 def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: neighbours of a node are compared with one another; each node keeps its nearest."""
+    """One round: neighbours of a node are compared with one another; each node keeps its nearest. Edges that it had not are fresh."""
     least = graph.groupBy("node").agg(F.when(F.count("*") >= DEGREE, F.min("near")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
     met = around(graph).join(nodes.select("node", "unit"), "node").join(least, "node")
     met = met.repartition("at").sortWithinPartitions("at", "node")
@@ -141,14 +144,17 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names[place[g, i]]), pa.array(names[place[g, j]]), pa.array(near[g, i, j])], ["node", "other", "near"])
 
     found = met.select("at", "node", "unit", "least").mapInArrow(run, "node long, other long, near float")
-    return stash(nearest(graph.select("node", "other", "near").union(found), DEGREE), "graph")
+    both = graph.select("node", "other", "near", F.lit(False).alias("fresh")).union(found.withColumn("fresh", F.lit(True)))
+    return stash(nearest(both, DEGREE), "graph")
 
 
 def build_graph(nodes: DataFrame, dimension: int) -> DataFrame:
     graph = first_graph(nodes, dimension, nodes.count())
-    for _ in range(DESCENTS):
+    while True:
         graph = descend(graph, nodes)
-    return graph
+        fresh, edges = graph.agg(F.count_if("fresh"), F.count("*")).first()
+        if fresh <= SETTLED * edges:
+            return graph
 
 
 @F.pandas_udf(T.FloatType())
@@ -178,7 +184,7 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame) -> Data
     links = stash(around(graph).withColumnsRenamed({"at": "from", "node": "node"}), "links")
     beam = starts.select("query", "node").distinct().join(units, "node").join(queries, "query").select("query", "node", dots("unit", "to").alias("near"), F.lit(False).alias("done"))
     beam = stash(beam, "beam")
-    for _ in range(ROUNDS):
+    while True:
         place = F.row_number().over(W.partitionBy("query", "done").orderBy(F.desc("near"), "node"))
         ranked = beam.withColumn("now", ~F.col("done") & (place <= EXPAND))
         met = ranked.where("now").select("query", F.col("node").alias("from")).join(links, "from").select("query", "node").distinct()
@@ -188,8 +194,7 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame) -> Data
         place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("near"), "node"))
         beam = stash(both.withColumn("place", place).where(F.col("place") <= BEAM).drop("place"), "beam")
         if beam.where("NOT done").isEmpty():
-            break
-    return beam.select("query", "node", "near")
+            return beam.select("query", "node", "near")
 
 
 def top_k(table: DataFrame, k: int, id_col: str, vector_col: str, is_query) -> DataFrame:
