@@ -36,7 +36,7 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of sequences of at most 1024 tokens, near texts beside one another."""
-    return packing.pack_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=1024)
+    return packing.pack_digests(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, length=1024, encode_special_tokens=False)
 
 
 STAGES = [

@@ -171,3 +171,37 @@ def test_token_counts_of_given_sections(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, s array<struct<begin:int,end:int>>")
     found = token_counts.count_tokens(docs, LIBRARY, "first", "s").orderBy("section").collect()
     assert [(r.begin, r.end, r.n_tokens) for r in found] == [(0, 6, 2), (6, 17, 1), (0, 17, 3)]
+
+
+SPELLED = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>  x\n<|endoftext|>", "<|endo", "ftext|> not over rows", "<|endoftext|", "it'<|endoftext|>s <|endoftext|>é\n<|ENDOFTEXT|>", "", None, "  <|endoftext|>  two "]
+
+
+def test_queries_take_added_tokens_like_the_library(spark, tmp_path):
+    from tracequarry.llm import queries
+
+    t = Tokenizer.from_file(LIBRARY)
+    spark.createDataFrame(list(enumerate(SPELLED)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    ids = [t.encode(x or "", add_special_tokens=False).ids for x in SPELLED]
+    assert ids[0] == [64, 220, 50256, 275]
+    store = queries.op5_token_store(spark, str(tmp_path)).orderBy("doc_id").collect()
+    ends = np.cumsum([len(x) + 1 for x in ids])
+    assert [tuple(r) for r in store] == [(i, e - len(x) - 1, len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, (x, e) in enumerate(zip(ids, ends))]
+    assert {(r.doc_id, r.doc_tokens) for r in queries.op7_packing(spark, str(tmp_path)).collect()} == {(i, len(x) + 1) for i, x in enumerate(ids)}
+    want = []
+    for i, x in enumerate(SPELLED):
+        first = [a for a, _ in t.encode(x or "", add_special_tokens=False).offsets]
+        at = 0
+        for k, line in enumerate((x or "").splitlines(keepends=True) or [""]):
+            want.append((i, k, at, at + len(line), sum(at <= a < at + len(line) for a in first), len(first)))
+            at += len(line)
+    assert sorted(map(tuple, queries.op10_token_counts(spark, str(tmp_path)).collect())) == want
+
+
+def test_longest_literal_is_cut_first_and_never_over_rows():
+    from tracequarry.llm.word_codec import PieceCodec
+
+    seen = []
+    codec = PieceCodec(lambda pieces: [seen.append(p) or [len(p)] for p in pieces], whole=(b"<a", b"<a>b"))
+    rows = [b"x<a>b<a", b">b", b"<", b"a>b <a>b"]
+    _, counts = codec.encode(np.frombuffer(b"".join(rows), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in rows])]))
+    assert counts.tolist() == [3, 2, 1, 5] and {b"<a>b", b"<a"} <= set(seen)

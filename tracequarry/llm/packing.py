@@ -103,9 +103,9 @@ def binary_marks(first: int, size: int) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def packed(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, length: int) -> Iterator[pa.RecordBatch]:
+def packed(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, length: int, encode_special_tokens: bool) -> Iterator[pa.RecordBatch]:
     """Pieces of one range; what the open sequence holds waits until that is full or the range ends."""
-    codec, range_id = library_codec(tokenizer_path), TaskContext.get().partitionId()
+    codec, range_id = library_codec(tokenizer_path, encode_special_tokens), TaskContext.get().partitionId()
     sequence = 0  # number of the open sequence
     # Of the rows that reach into the open sequence: id, ids so far placed, ids of the whole row, ids to place.
     rows, placed, whole, ids = np.zeros(0, object), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -149,17 +149,17 @@ def in_curve_order(docs: DataFrame) -> DataFrame:
     return rows.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text").select("doc_id", "text")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 1024) -> DataFrame:
-    """The pieces with their ids."""
-    return in_curve_order(docs).mapInArrow(lambda batches: packed(batches, tokenizer_path, end_id, length), PIECE)
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 1024, encode_special_tokens: bool = True) -> DataFrame:
+    """The pieces with their ids; ``encode_special_tokens`` as in ``library_codec``."""
+    return in_curve_order(docs).mapInArrow(lambda batches: packed(batches, tokenizer_path, end_id, length, encode_special_tokens), PIECE)
 
 
-def pack_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 1024) -> DataFrame:
+def pack_digests(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 1024, encode_special_tokens: bool = True) -> DataFrame:
     """The same pieces with ids_crc32 in place of their ids."""
     names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches):
-        for batch in packed(batches, tokenizer_path, end_id, length):
+        for batch in packed(batches, tokenizer_path, end_id, length, encode_special_tokens):
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(list_crcs(batch.column("ids")))], [*names, "ids_crc32"])
 
     schema = ", ".join(f"{c} long" for c in [*names, "ids_crc32"])

@@ -59,7 +59,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
-    token_store.write_store(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path(LIBRARY), end_id=2)
+    token_store.write_store(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path(LIBRARY), end_id=2, encode_special_tokens=False)
     return token_store.store_digests(token_store.read_store(spark, path))
 
 
@@ -70,7 +70,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(LIBRARY), end_id=0, length=1024)
+    return packing.pack_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(LIBRARY), end_id=0, length=1024, encode_special_tokens=False)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(LIBRARY))
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path(LIBRARY), encode_special_tokens=False)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

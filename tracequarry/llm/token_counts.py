@@ -43,17 +43,18 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return rows[order], starts[order], ends[order]
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, rule: str = "first", sections: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, rule: str = "first", sections: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
     """doc_id, section (number in its document), begin, end (characters), n_tokens, doc_tokens.
 
     ``sections``: a column of array<struct<begin int, end int>>; without it the lines are the sections.
+    ``encode_special_tokens``: as in ``library_codec``.
     """
     need(docs, "doc_id", "text", *([sections] if sections else []))
     if rule not in ANCHORS:
         raise ValueError(f"rule: one of {', '.join(ANCHORS)}")
 
     def run(batches):
-        codec, lengths = library_codec(tokenizer_path), token_lengths(tokenizer_path)
+        codec, lengths = library_codec(tokenizer_path, encode_special_tokens), token_lengths(tokenizer_path)
         for batch in batches:
             for part in slices(batch, "text"):
                 data, offsets = text_buffer(part.column("text"))

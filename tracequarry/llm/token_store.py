@@ -42,14 +42,14 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return out, counts
 
 
-def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
-    """Encode ``docs`` (doc_id, text) into a store at ``path``."""
+def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, encoding: str = "dictionary", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10, encode_special_tokens: bool = True) -> None:
+    """Encode ``docs`` (doc_id, text) into a store at ``path``; ``encode_special_tokens`` as in ``library_codec``."""
     need(docs, "doc_id", "text")
     if encoding not in ("dictionary", "delta"):
         raise ValueError("encoding: dictionary or delta")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, shard, total = library_codec(tokenizer_path), TaskContext.get().partitionId(), 0
+        codec, shard, total = library_codec(tokenizer_path, encode_special_tokens), TaskContext.get().partitionId(), 0
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, counts = with_end(*codec.encode(*text_buffer(part.column("text"))), end_id)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -54,10 +55,14 @@ class HashIndex:
 
 
 class PieceCodec:
-    """``encode_many`` turns distinct pieces into ids; at ``limit`` kept pieces the store starts anew."""
+    """``encode_many`` turns distinct pieces into ids; at ``limit`` kept pieces the store starts anew.
 
-    def __init__(self, encode_many: Callable[[list[bytes]], list], limit: int = 800_000):
+    ``whole``: literals that are cut out of each row first (the leftmost, then the longest) and are a piece each.
+    """
+
+    def __init__(self, encode_many: Callable[[list[bytes]], list], limit: int = 800_000, whole: tuple[bytes, ...] = ()):
         self.encode_many, self.limit = encode_many, limit
+        self.whole = re.compile(b"|".join(map(re.escape, sorted(whole, key=len, reverse=True)))) if whole else None
         self._reset()
 
     def _reset(self) -> None:
@@ -77,9 +82,21 @@ class PieceCodec:
         self.count[first : first + len(pieces)] = counts
         self.used += total
 
+    def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where pieces start; what lies between two literals is split by itself."""
+        text = data.tobytes() if self.whole else b""
+        if not self.whole or not self.whole.search(text):
+            return piece_starts(data, offsets)
+        rows = zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)
+        spans = np.array([m.span() for a, b in rows for m in self.whole.finditer(text, a, b)], np.int64).reshape(-1, 2)
+        starts = piece_starts(data, np.unique(np.concatenate([offsets, spans.ravel()])))
+        # A literal ends before the next one starts.
+        at = np.searchsorted(spans[:, 0], starts, side="left") - 1
+        return starts[(at < 0) | (starts >= np.append(spans[:, 1], 0)[at])]
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the number of ids of each row."""
-        starts = piece_starts(data, offsets)
+        starts = self._starts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         if self.index.count > self.limit:
@@ -111,21 +128,37 @@ def byte_alphabet() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-def library_codec(path: str, limit: int = 800_000) -> PieceCodec:
-    """Pieces encoded by the tokenizers library's model from the vocabulary file at ``path``."""
-    key = ("library", path, limit)
+def added_tokens(tokenizer) -> dict[bytes, int]:
+    """Literal -> id of the tokens that the library takes from a text before its model sees it."""
+    found = tokenizer.get_added_tokens_decoder()
+    if any(t.single_word or t.lstrip or t.rstrip for t in found.values()) or tokenizer.normalizer is not None:
+        raise ValueError("added tokens that look at what is around them, and normalizers, aren't supported")
+    return {t.content.encode(): i for i, t in found.items()}
+
+
+def library_codec(path: str, encode_special_tokens: bool = True, limit: int = 800_000) -> PieceCodec:
+    """Pieces encoded by the tokenizers library's model from the vocabulary file at ``path``.
+
+    ``encode_special_tokens`` is the library's switch: if false (its default), special tokens that a
+    text spells out are one id each; if true they are encoded like any other text.
+    """
+    key = ("library", path, encode_special_tokens, limit)
     if key not in _codecs:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenize, alphabet = Tokenizer.from_file(path).model.tokenize, byte_alphabet()
+        tokenizer = Tokenizer.from_file(path)
+        tokenize, alphabet, added = tokenizer.model.tokenize, byte_alphabet(), added_tokens(tokenizer)
+        if encode_special_tokens:
+            special = {t.content.encode() for t in tokenizer.get_added_tokens_decoder().values() if t.special}
+            added = {t: i for t, i in added.items() if t not in special}
 
         def encode_many(pieces: list[bytes]) -> list[list[int]]:
-            return [[t.id for t in tokenize(p.decode("latin-1").translate(alphabet))] for p in pieces]
+            return [[added[p]] if p in added else [t.id for t in tokenize(p.decode("latin-1").translate(alphabet))] for p in pieces]
 
-        _codecs[key] = PieceCodec(encode_many, limit)
+        _codecs[key] = PieceCodec(encode_many, limit, tuple(added))
     return _codecs[key]
 
 
@@ -135,9 +168,12 @@ def token_lengths(path: str) -> np.ndarray:
     if key not in _codecs:
         from tokenizers import Tokenizer
 
-        vocab = Tokenizer.from_file(path).get_vocab()
+        tokenizer = Tokenizer.from_file(path)
+        vocab = tokenizer.get_vocab()
         out = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             out[i] = len(token)
+        for i, token in tokenizer.get_added_tokens_decoder().items():
+            out[i] = len(token.content.encode())
         _codecs[key] = out
     return _codecs[key]
