@@ -27,11 +27,17 @@ def without_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each class of near duplicates, once; rows without an id stay."""
-    docs = docs.select(*DOCUMENTS)
-    first = ngram_join.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("copy", F.xxhash64("text")).dropDuplicates(["doc_id", "copy"])
-    return kept.select(*DOCUMENTS).unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one row of each class of near duplicates: that of the smallest doc_id, without an id only if none has one.
+
+    Rows equal in doc_id (null or not) and text count as one; texts without words are classes of their own.
+    """
+    # Ids may be null or stand at several texts, so classes are of rows, by a key of id and text.
+    docs = docs.select(*DOCUMENTS).withColumn("key", F.xxhash64("doc_id", "text"))
+    classes = ngram_join.near_duplicates(docs.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").distinct()
+    ids = docs.select("key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
+    kept = classes.join(ids, "key").groupBy("component_id").agg(first).select("first.key")
+    return docs.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*DOCUMENTS)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
