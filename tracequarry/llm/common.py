@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -82,35 +83,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers: list[np.ndarray] = []
+#: Spans longer than this are hashed one by one.
+LONG_SPAN = 256
+_TAIL = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of an odd base modulo 2**64, and of its inverse."""
-    if not _powers or len(_powers[0]) <= n:
-        size = 1 << max(12, int(n).bit_length())
-        out = []
-        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-            grown = np.ones(1, np.uint64)
-            step = np.array([base], np.uint64)
-            while len(grown) < size:
-                grown = np.concatenate([grown, grown * step])
-                step = step * step
-            out.append(grown)
-        _powers[:] = out
-    return _powers[0], _powers[1]
-
-
-_SYMBOL = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as an integer, without a copy of each; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: polynomial prefix sums, then a finaliser."""
-    up, down = powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_SYMBOL[data] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of byte spans: eight bytes at a time are mixed into the state, all spans in step.
+
+    Spans of one length of at most eight bytes never share a hash.
+    """
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    windows = _windows(data)
+    at = None  # all spans
+    for done in range(0, LONG_SPAN, 8):
+        live = np.flatnonzero((size > done) & (size <= LONG_SPAN)) if at is None else at[size[at] > done]
+        if not len(live):
+            break
+        chunk = windows[starts[live] + done] & _TAIL[np.minimum(size[live] - done, 8)]
+        out[live] = mix64(out[live] * np.uint64(0xC2B2AE3D27D4EB4F) ^ chunk)
+        at = live
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``size`` bytes at the places in ``a`` and in ``b`` have the same bytes."""
+    left, right, same = _windows(a), _windows(b), np.ones(len(size), bool)
+    live, done = np.flatnonzero(size <= LONG_SPAN), 0
+    while len(live):
+        same[live] &= (left[a_starts[live] + done] ^ right[b_starts[live] + done]) & _TAIL[np.minimum(size[live] - done, 8)] == 0
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        same[i] = np.array_equal(a[a_starts[i] : a_starts[i] + size[i]], b[b_starts[i] : b_starts[i] + size[i]])
+    return same
 
 
 #: ASCII white space that separates words: blank and 0x09-0x0D. Fixed values.

@@ -36,7 +36,7 @@ from .common import lowered, mix64, need, slices, span_hashes, stash, text_buffe
 from .components import connected_components
 
 #: Tokens that a range holds on average, and that a map task gathers before it sends them on.
-RANGE_TOKENS, FLUSH_TOKENS = 1_500_000, 3_000_000
+RANGE_TOKENS, FLUSH_TOKENS = 1_500_000, 1_500_000
 #: Ranges at most: with 100 TB of text each then holds about 16 million tokens.
 RANGES_MOST = 1 << 20
 #: Documents sampled to find very frequent tokens, the share of them that makes a token so, and how many at most.
@@ -74,16 +74,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndar
     return rows[new], found[new]
 
 
-def entities(rows: np.ndarray, hashes: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set size, digest of the set) of each row."""
+def entities(rows: np.ndarray, hashes: np.ndarray, many: int, clashing: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set size, digest of the set, second digest) of each row; the second one stands for digests in ``clashing``."""
     sizes = np.bincount(rows, minlength=many)
-    digest = np.zeros(many, np.uint64)
+    digests = np.zeros((2, many), np.uint64)
     filled = np.flatnonzero(sizes)
     if len(filled):
         first = (np.cumsum(sizes) - sizes)[filled]
-        sums, xors = np.add.reduceat(mix64(hashes + _ODD[0]), first), np.bitwise_xor.reduceat(mix64(hashes ^ _ODD[1]), first)
-        digest[filled] = mix64(sums + mix64(xors) * _ODD[2] + sizes[filled].astype(np.uint64))
-    return sizes, digest.view(np.int64)
+        for k, odd in enumerate((_ODD[0:3], _ODD[3:6])):
+            sums, xors = np.add.reduceat(mix64(hashes + odd[0]), first), np.bitwise_xor.reduceat(mix64(hashes ^ odd[1]), first)
+            digests[k, filled] = mix64(sums + mix64(xors) * odd[2] + sizes[filled].astype(np.uint64))
+    digest, second = digests.view(np.int64)
+    return sizes, np.where(np.isin(digest, clashing), second, digest) if len(clashing) else digest, second
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -102,7 +104,8 @@ def range_numbers(tokens: np.ndarray, ranges: int) -> np.ndarray:
 
 def frequent_tokens(texts: DataFrame, n: int, rows: int) -> np.ndarray:
     """Tokens in many documents of a sample of about HOT_SAMPLE; at most HOT_MOST."""
-    chance = F.pmod(F.xxhash64("doc_id", F.lit("hot")), F.lit(1 << 30))
+    # By row, so that null or repeated ids leave it a sample; of a lost task another sample does as well.
+    chance = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id(), F.lit("hot")), F.lit(1 << 30))
     sample = texts.where(chance < int((1 << 30) * min(1.0, HOT_SAMPLE / max(1, rows))))
 
     def run(batches):
@@ -118,24 +121,25 @@ def frequent_tokens(texts: DataFrame, n: int, rows: int) -> np.ndarray:
 
 
 def sets_of(texts: DataFrame, n: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, entity (null: empty set) and the very frequent tokens of each row."""
+    """doc_id, n_shingles, entity (null: empty set), its second digest and the very frequent tokens of each row."""
+    none = np.zeros(0, np.int64)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, hashes = shingle_sets(*text_buffer(part.column("text")), n)
-                sizes, digest = entities(rows, hashes, part.num_rows)
+                sizes, digest, second = entities(rows, hashes, part.num_rows, none)
                 held = np.isin(hashes, hot)
                 lists = np.concatenate([[0], np.cumsum(np.bincount(rows[held], minlength=part.num_rows))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digest, mask=sizes == 0), pa.ListArray.from_arrays(pa.array(lists), pa.array(hashes[held].view(np.int64)))],
-                    ["doc_id", "n_shingles", "entity", "hot"],
+                    [part.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(digest, mask=sizes == 0), pa.array(second), pa.ListArray.from_arrays(pa.array(lists), pa.array(hashes[held].view(np.int64)))],
+                    ["doc_id", "n_shingles", "entity", "second", "hot"],
                 )
 
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, entity long, hot array<long>")
+    return texts.mapInArrow(run, "doc_id long, n_shingles long, entity long, second long, hot array<long>")
 
 
-def spread_tokens(texts: DataFrame, n: int, hot: np.ndarray, ranges: int) -> DataFrame:
+def spread_tokens(texts: DataFrame, n: int, hot: np.ndarray, clashing: np.ndarray, ranges: int) -> DataFrame:
     """Tokens with their entities, packed by task and range; an entity comes once from each task."""
     names = ["range", "tokens", "places", "entities"]
 
@@ -155,7 +159,7 @@ def spread_tokens(texts: DataFrame, n: int, hot: np.ndarray, ranges: int) -> Dat
         for batch in batches:
             for part in slices(batch, "text"):
                 rows, hashes = shingle_sets(*text_buffer(part.column("text")), n)
-                sizes, digest = entities(rows, hashes, part.num_rows)
+                sizes, digest, _ = entities(rows, hashes, part.num_rows, clashing)
                 fresh = np.zeros(part.num_rows, bool)
                 for i, e in enumerate(digest.tolist()):
                     if sizes[i] and e not in seen:
@@ -390,10 +394,15 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     hot = frequent_tokens(texts, n, texts.count())
     sets = stash(sets_of(texts, n, hot), "sets")
     filled = sets.where("entity IS NOT NULL")
+    # Two digests and the size tell sets apart. Few digests of 64 bits clash even in 10^11 sets; those sets go by their second one.
+    clashing = filled.groupBy("entity").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("second", "n_shingles") for f in (F.min, F.max))).where("min_second <> max_second OR min_n_shingles <> max_n_shingles")
+    clashing = np.array([r.entity for r in clashing.select("entity").collect()], np.int64)
+    if len(clashing):
+        filled = filled.withColumn("entity", F.when(F.col("entity").isin(clashing.tolist()), F.col("second")).otherwise(F.col("entity")))
     classes = stash(filled.groupBy("entity").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n_shingles"), F.first("hot").alias("hot")), "classes")
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = int(min(RANGES_MOST, max(16, total // RANGE_TOKENS)))
-    shared = shared_tokens(spread_tokens(texts, n, hot, ranges), ranges)
+    shared = shared_tokens(spread_tokens(texts, n, hot, clashing, ranges), ranges)
     left = stash(survivors(shared, classes, ranges), "survivors")
     postings = left.select("entity", "index", F.posexplode(F.slice("tokens", F.lit(1), F.col("probes"))).alias("place", "token"))
     groups = postings.groupBy("token").agg(F.min("entity").alias("hub"), F.count("*").alias("members"), F.max(F.col("place") < F.col("index")).alias("indexed")).where("members > 1 AND indexed")
@@ -413,6 +422,7 @@ def near_duplicates(docs: DataFrame, n: int = 5) -> DataFrame:
     roots = connected_components(links).join(named, F.col("id") == F.col("entity")).select("entity", "root", "first_id")
     least = roots.groupBy("root").agg(F.min("first_id").alias("least_id"))
     joined = roots.join(least, "root").select("entity", "least_id")
-    of_class = named.join(joined, "entity", "left").select("entity", F.coalesce("least_id", "first_id").alias("component_id"))
+    # Written out, the join with the documents is of two plain shuffles, so a hot entity's side is split at run time.
+    of_class = stash(named.join(joined, "entity", "left").select("entity", F.coalesce("least_id", "first_id").alias("component_id")), "of-class")
     empty = sets.where("entity IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return filled.join(of_class, "entity").select("doc_id", "n_shingles", "component_id").unionByName(empty)

@@ -1,4 +1,10 @@
-"""Encoding by distinct pieces: each piece is encoded once a worker, its ids are kept in one flat store."""
+"""Encoding by distinct pieces: each piece is encoded once a worker, its ids are kept in one flat store.
+
+A piece is found by a hash and then compared byte by byte, so no two pieces are ever taken for one.
+Texts are encoded ``CHUNK_BYTES`` at a time: a longer row is cut where white space follows something
+else, as a piece starts there whatever comes before. So memory is bounded by that and by the longest
+run without such a place.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +13,27 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import span_hashes
+from .common import equal_spans, span_hashes
 from .pretokens import piece_starts
 
 
+#: Bytes of text that are encoded at once; a single run without white space may be longer.
+CHUNK_BYTES = 1 << 20
+_WHITE = np.zeros(256, bool)
+_WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: With the last bytes of all other white space in UTF-8. Fixed values.
+_MAYBE_WHITE = _WHITE.copy()
+_MAYBE_WHITE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+
+
+def grown(x: np.ndarray, size: int) -> np.ndarray:
+    """``x`` with room for ``size`` items at least, doubled as often as that takes."""
+    room = len(x)
+    while room < size:
+        room *= 2
+    return x if room == len(x) else np.concatenate([x, np.zeros(room - len(x), x.dtype)])
+
+
 class HashIndex:
     """64-bit hash -> number, by open addressing in numpy arrays; lookups and inserts work on whole arrays."""
 
@@ -68,19 +91,50 @@ class PieceCodec:
     def _reset(self) -> None:
         self.index, self.ids, self.used = HashIndex(), np.zeros(1 << 16, np.int32), 0
         self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
+        self.bytes, self.bytes_used, self.byte_begin, self.size = np.zeros(1 << 16, np.uint8), 0, np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.clashing: dict[bytes, int] = {}  # pieces whose hash another piece has
 
     def _learn(self, first: int, pieces: list[bytes]) -> None:
+        """Pieces ``first``, ``first`` + 1, ... with their ids and bytes."""
         found = self.encode_many(pieces)
-        counts = np.fromiter(map(len, found), np.int32, len(found))
-        total = int(counts.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.index.count > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        counts, sizes = np.fromiter(map(len, found), np.int32, len(found)), np.fromiter(map(len, pieces), np.int64, len(pieces))
+        total, raw, last = int(counts.sum()), np.frombuffer(b"".join(pieces), np.uint8), first + len(pieces)
+        self.ids, self.bytes = grown(self.ids, self.used + total), grown(self.bytes, self.bytes_used + len(raw))
+        self.begin, self.count, self.byte_begin, self.size = (grown(x, last) for x in (self.begin, self.count, self.byte_begin, self.size))
         self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
-        self.begin[first : first + len(pieces)] = self.used + np.cumsum(counts) - counts
-        self.count[first : first + len(pieces)] = counts
+        self.bytes[self.bytes_used : self.bytes_used + len(raw)] = raw
+        self.begin[first:last], self.count[first:last] = self.used + np.cumsum(counts) - counts, counts
+        self.byte_begin[first:last], self.size[first:last] = self.bytes_used + np.cumsum(sizes) - sizes, sizes
         self.used += total
+        self.bytes_used += len(raw)
+
+    def _numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of each piece; unknown ones are learned."""
+
+        def learned(known: int, at: np.ndarray) -> None:
+            text = data.tobytes()
+            self._learn(known, [text[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+
+        hashes = span_hashes(data, starts, ends)
+        numbers = self.index.find(hashes)
+        lacking = np.flatnonzero(numbers < 0)
+        if len(lacking):
+            fresh, example, of = np.unique(hashes[lacking], return_index=True, return_inverse=True)
+            known = self.index.count
+            self.index.add(fresh)
+            learned(known, lacking[example])
+            numbers[lacking] = known + of
+        sizes = ends - starts
+        good = self.size[numbers] == sizes
+        good[good] = equal_spans(data, starts[good], self.bytes, self.byte_begin[numbers[good]], sizes[good])
+        for i in np.flatnonzero(~good).tolist():
+            piece = data[starts[i] : ends[i]].tobytes()
+            if piece not in self.clashing:
+                self.clashing[piece] = self.index.count
+                self.index.count += 1
+                learned(self.clashing[piece], np.array([i]))
+            numbers[i] = self.clashing[piece]
+        return numbers
 
     def _starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces start; what lies between two literals is split by itself."""
@@ -96,22 +150,33 @@ class PieceCodec:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one after another, and the number of ids of each row."""
+        if len(data) <= CHUNK_BYTES:
+            return self._encode(data, offsets)
+        places = np.flatnonzero(_WHITE[data[1:]] & ~_MAYBE_WHITE[data[:-1]]) + 1
+        cuts, at = [0], 0
+        while at < len(data):
+            inside = int(np.searchsorted(places, at + CHUNK_BYTES, side="right"))
+            to = int(places[inside - 1]) if inside and places[inside - 1] > at else int(places[inside]) if inside < len(places) else len(data)
+            to = len(data) if len(data) - at <= CHUNK_BYTES else to
+            cuts.append(to)
+            at = to
+        ids, counts = [], np.zeros(len(offsets) - 1, np.int64)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            # Rows that reach into the chunk; the offsets' ends are the chunk's.
+            first, last = int(np.searchsorted(offsets, a, side="right")) - 1, int(np.searchsorted(offsets, b, side="left"))
+            own = np.clip(offsets[first : last + 1], a, b) - a
+            found, many = self._encode(data[a:b], own)
+            ids.append(found)
+            counts[first:last] += many
+        return np.concatenate(ids), counts
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = self._starts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
-        if self.index.count > self.limit:
+        if self.index.count > self.limit or self.bytes_used + self.used > 64 * self.limit:
             self._reset()
-        ends = np.append(starts[1:], len(data))
-        hashes = span_hashes(data, starts, ends)
-        numbers = self.index.find(hashes)
-        lacking = np.flatnonzero(numbers < 0)
-        if len(lacking):
-            fresh, example, of = np.unique(hashes[lacking], return_index=True, return_inverse=True)
-            known = self.index.count
-            self.index.add(fresh)
-            text, example = data.tobytes(), lacking[example]
-            self._learn(known, [text[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)])
-            numbers[lacking] = known + of
+        numbers = self._numbers(data, starts, np.append(starts[1:], len(data)))
         counts = self.count[numbers].astype(np.int64)
         sums = np.concatenate([[0], np.cumsum(counts)])
         places = np.arange(sums[-1]) + np.repeat(self.begin[numbers] - sums[:-1], counts)
