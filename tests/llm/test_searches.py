@@ -107,22 +107,58 @@ def table(spark, x):
     return spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
 
 
+def nearest_codes(rows, queries, k):
+    """query, rank, id, distance over (id, code) rows, by all pairs; an id counts at its nearest code."""
+    out = []
+    for q in sorted(set(queries)):
+        own = [c for i, c in rows if i == q]
+        best = {}
+        for i, c in rows:
+            if i is not None and i != q:
+                best[i] = min(best.get(i, 1 << 30), *(int(np.bitwise_count(np.frombuffer(c, np.uint8) ^ np.frombuffer(o, np.uint8)).sum()) for o in own))
+        out += [(q, r + 1, i, d) for r, (d, i) in enumerate(sorted((d, i) for i, d in best.items())[:k])]
+    return out
+
+
 def test_hamming_equals_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(hamming, "PART_CODES", 200)
-    monkeypatch.setattr(hamming, "BLOCK_QUERIES", 9)
-    x = vectors(1, 700)
+    monkeypatch.setattr(hamming, "CUT_CODES", 3)
+    x = vectors(1, 500)
     codes = hamming.sign_codes(table(spark, x), "vec_id", "embedding")
+    rows = [(r.id, bytes(r.code)) for r in codes.collect()]
+    assert sorted(i for i, _ in rows) == list(range(500))
     found = sorted(map(tuple, hamming.top_k(codes, 7, F.col("id") % 50 == 0).collect()))
-    want = []
-    for q in range(0, 700, 50):
-        apart = ((x > 0) != (x[q] > 0)).sum(1)
-        best = [i for i in np.lexsort((np.arange(700), apart)) if i != q][:7]
-        want += [(q, r + 1, int(i), int(apart[i])) for r, i in enumerate(best)]
-    assert found == want
+    assert found == nearest_codes(rows, range(0, 500, 50), 7)
     assert len(hamming.top_k(codes.where("id < 3"), 7, F.col("id") == 0).collect()) == 2
     assert hamming.top_k(codes.limit(0), 7, F.col("id") == 0).count() == 0
 
 
+def test_hamming_of_repeated_ids_nulls_and_long_codes(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (6, 20), np.uint8)
+    rows = [(int(i), bytes(base[rng.integers(0, 6)] ^ (1 << rng.integers(0, 8, 20)).astype(np.uint8) * (rng.random(20) < 0.3))) for i in rng.integers(0, 40, 120)]
+    given = [(*r, "x") for r in rows] + [(None, rows[0][1], "x"), (0, None, "x"), (0, b"", "x"), (0, b"short", "x")]
+    codes = spark.createDataFrame(given, "id long, code binary, distance string")
+    found = sorted(map(tuple, hamming.top_k(codes, 5, F.col("id") % 4 == 0).collect()))
+    assert found == nearest_codes(rows, [i for i, _ in rows if i % 4 == 0], 5)
+
+
+def test_hamming_probes_few_codes(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.integers(0, 2, (60, 64))
+    bits = centres[rng.integers(0, 60, 3000)] ^ (rng.random((3000, 64)) < 0.03)
+    rows = [(i, bytes(b)) for i, b in enumerate(np.packbits(bits.astype(np.uint8), axis=1))]
+    codes = spark.createDataFrame(rows, "id long, code binary")
+    sizes = hamming.segment_sizes(64, 3000)
+    parts = codes.select(F.array("id").alias("ids"), hamming.segments(hamming.bit_text(F.col("code"), 8), sizes).alias("parts"), "code")
+    buckets = hamming.bucket_table(parts.select("parts", "ids"))
+    asked = parts.where("ids[0] % 50 = 0").select(F.col("code").alias("query"), F.col("parts").alias("own"), F.lit(None).cast("int").alias("bound"))
+    # Nearly all of a cluster's codes are known after radius 1; a scan would verify 60 times 3000 codes.
+    probed = sum(hamming.probes(asked, sizes, r).join(buckets, ["segment", "value"]).select(F.sum(F.size("codes"))).first()[0] for r in (0, 1))
+    assert probed < 0.15 * 60 * 3000
+    found = hamming.top_k(codes, 10, F.col("id") % 50 == 0).count()
+    assert found == 600
+
+
 def test_nn_descent_recall(spark):
     x = vectors(2, 1200)
     x[1199] = 0

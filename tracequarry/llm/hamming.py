@@ -1,28 +1,44 @@
 """Exact top-k search of binary codes by incremental multi-index hashing.
 
-Distinct codes are dealt into parts of bounded size, distinct query codes into blocks. In each pair
-of part and block the code is cut into m segments, each with an index of its values. Radius by
-radius, the buckets whose segment value differs from the query's in exactly that many bits give
-candidates, whose whole distance is verified. After radius r every code within m * (r + 1) - 1 is
-known, so a query ends once that many verified codes are as near. The parts' results are merged.
+The code is cut into m segments of about log2(codes) bits. The index is a table of buckets: segment,
+its value, and the distinct codes that have it there. Radius by radius, each query that isn't done
+probes the buckets whose value differs from its own in exactly that many bits, by a join on segment
+and value; what it finds is verified by the whole distance. After radius r every code within
+m * (r + 1) - 1 is known, so a query is done once that many verified ids are as near as that.
+
+A pair of query and code is taken only at its smallest segment distance, and of equal ones at the
+first segment, so no pair is verified twice and none has to be remembered. A bucket of many codes is
+dealt into cuts, each a key of its own in the join.
+
+A query that is far from all others needs large radii, at most all values of a segment. Memory is
+bounded by a cut and by a query's best ids, whatever the tables' and the texts' sizes.
 
 Defined cases: rows with a null id, a null, empty or non-finite vector, or of another dimension
-than most take no part; equal codes share their place and their ids are told apart by size; fewer
-than k candidates are all returned; an empty table gives an empty result; other columns aren't read.
+than most take no part; equal codes share their place, and of them the smallest ids count; an id
+that stands at several rows is, as a query, each of its codes, with the nearest of them counting,
+and as a candidate it is found once, at its nearest code; fewer than k candidates are all returned;
+an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stash
-from .vectors import bytes_matrix, matrix, smallest_ids, valid_vectors
+from .vectors import matrix, smallest_ids, valid_vectors
 
-PART_CODES, BLOCK_QUERIES = 8192, 1024
+#: Codes of a bucket that one key of the join holds.
+CUT_CODES = 256
+#: Bits of a segment at least and at most.
+SEGMENT_BITS = (4, 24)
 
 
 def sign_codes(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -40,84 +56,99 @@ def sign_codes(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, code binary")
 
 
-def bit_segments(codes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """Segment values; segments of about ``bits`` bits cover each code once."""
-    spread = np.unpackbits(codes, axis=1)
-    count = max(1, -(-spread.shape[1] // bits))
-    return [part @ (1 << np.arange(part.shape[1], dtype=np.int64)) for part in np.array_split(spread, count, axis=1)]
-
-
-def search(codes: np.ndarray, weights: np.ndarray, queries: np.ndarray, wanted: int) -> list[np.ndarray]:
-    """Of each query (distance, code number) of all codes as near as the nearest that hold ``wanted`` ids."""
-    n, many = len(codes), len(queries)
-    bits = int(np.clip(round(np.log2(max(n, 2))), 4, 16))
-    own, asked = bit_segments(codes, bits), bit_segments(queries, bits)
-    tables = []
-    for values, q in zip(own, asked):
-        distinct, bucket = np.unique(values, return_inverse=True)
-        order = np.argsort(bucket, kind="stable")
-        starts = np.searchsorted(bucket[order], np.arange(len(distinct) + 1))
-        tables.append((order, starts, np.bitwise_count(q[:, None] ^ distinct[None, :])))
-    m, width = len(own), codes.shape[1] * 8
-    counts = np.zeros((many, width + 1), np.int64)  # ids by verified distance
-    found_q, found_c, found_d = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    seen = np.zeros((many, n), bool)
-    active = np.arange(many)
-    for radius in range(width + 1):
-        for order, starts, apart in tables:
-            rows, bucket = np.nonzero(apart[active] == radius)
-            rows = active[rows]
-            size = starts[bucket + 1] - starts[bucket]
-            ends = np.cumsum(size)
-            code = order[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[bucket] - (ends - size), size)]
-            rows = np.repeat(rows, size)
-            fresh = ~seen[rows, code]
-            rows, code = rows[fresh], code[fresh]
-            seen[rows, code] = True
-            apart_all = np.bitwise_count(codes[code] ^ queries[rows]).sum(1, dtype=np.int64)
-            np.add.at(counts, (rows, apart_all), weights[code])
-            found_q.append(rows)
-            found_c.append(code)
-            found_d.append(apart_all)
-        covered = min(width, m * (radius + 1) - 1)
-        active = active[counts[active, : covered + 1].sum(1) < wanted]
-        if not len(active) or radius >= max(t[2].shape[1] and int(t[2].max()) for t in tables):
+def segment_sizes(width: int, codes: int) -> list[int]:
+    """Bits of each segment: about log2(codes), so that a bucket holds about one code."""
+    bits = int(np.clip(round(math.log2(max(codes, 2))), *SEGMENT_BITS))
+    count = max(1, -(-width // bits))
+    return [width // count + (i < width % count) for i in range(count)]
+
+
+def segments(code: Column, sizes: list[int]) -> Column:
+    """The segments' values, from the code as text of zeros and ones."""
+    at = [sum(sizes[:i]) + 1 for i in range(len(sizes))]
+    return F.array(*(F.conv(F.substring(code, a, n), 2, 10).cast("long") for a, n in zip(at, sizes)))
+
+
+def masks(bits: int, radius: int) -> list[int]:
+    """All values of ``bits`` bits with ``radius`` of them set."""
+    return [sum(1 << i for i in c) for c in combinations(range(bits), radius)]
+
+
+def bit_text(code: Column, width: int) -> Column:
+    """A binary column of ``width`` bytes as text of zeros and ones."""
+    parts = [(i, min(4, width - i)) for i in range(0, width, 4)]
+    return F.concat(*(F.lpad(F.conv(F.hex(F.substring(code, i + 1, n)), 16, 2), 8 * n, "0") for i, n in parts))
+
+
+def bucket_table(distinct: DataFrame) -> DataFrame:
+    """segment, value, cut, cuts, codes (array of parts and ids): a bucket's codes, at most about CUT_CODES in a cut."""
+    placed = distinct.select("parts", "ids", F.posexplode("parts").alias("segment", "value"))
+    held = placed.groupBy("segment", "value").agg(F.ceil(F.count("*") / CUT_CODES).cast("int").alias("cuts"))
+    placed = placed.join(held, ["segment", "value"]).withColumn("cut", F.pmod(F.xxhash64("parts"), F.col("cuts")).cast("int"))
+    return placed.groupBy("segment", "value", "cut", "cuts").agg(F.collect_list(F.struct("parts", "ids")).alias("codes"))
+
+
+def probes(active: DataFrame, sizes: list[int], radius: int) -> DataFrame:
+    """query, own, bound, segment, value: the buckets at exactly this segment distance."""
+
+    def around(i: int, bits: int) -> Column:
+        near = F.array(*(F.lit(m).cast("long") for m in masks(bits, radius)))
+        return F.transform(near, lambda m: F.struct(F.lit(i).alias("segment"), F.get("own", F.lit(i)).bitwiseXOR(m).alias("value")))
+
+    values = [around(i, n) for i, n in enumerate(sizes) if radius <= n]
+    return active.select("query", "own", "bound", F.explode(F.concat(*values)).alias("p")).select("query", "own", "bound", "p.*")
+
+
+def verified(found: DataFrame, radius: int, many: int) -> DataFrame:
+    """query, vec_id, distance of the probed pairs that no smaller radius and no earlier segment gives."""
+    apart = [F.bit_count(F.get("own", F.lit(i)).bitwiseXOR(F.get("code.parts", F.lit(i)))) for i in range(many)]
+    rows = found.select("query", "own", "bound", "segment", F.explode("codes").alias("code"))
+    rows = rows.select("query", "bound", "segment", "code.ids", F.array(*apart).alias("apart"))
+    first = F.array_position("apart", F.array_min("apart")) - 1
+    rows = rows.where((F.array_min("apart") == radius) & (first == F.col("segment")))
+    rows = rows.withColumn("distance", F.aggregate("apart", F.lit(0), lambda a, x: a + x.cast("int")))
+    return rows.where("bound IS NULL OR distance <= bound").select("query", F.explode("ids").alias("vec_id"), "distance")
+
+
+def search(distinct: DataFrame, asked: DataFrame, sizes: list[int], wanted: int) -> DataFrame:
+    """query, vec_id, distance: of each asked code (query, own) the ``wanted`` nearest ids, ties to smaller ids."""
+    buckets = stash(bucket_table(distinct), "code-buckets")
+    held = stash(buckets.select("segment", "value", "cuts").distinct(), "code-bucket-sizes")  # probes of empty buckets end here
+    active, best, done = asked.withColumn("bound", F.lit(None).cast("int")), None, []
+    for radius in range(max(sizes) + 1):
+        hits = probes(active, sizes, radius).join(held, ["segment", "value"])
+        hits = hits.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+        found = verified(hits.join(buckets.drop("cuts"), ["segment", "value", "cut"]), radius, len(sizes))
+        both = (found if best is None else best.union(found)).groupBy("query", "vec_id").agg(F.min("distance").alias("distance"))
+        place = F.row_number().over(W.partitionBy("query").orderBy("distance", "vec_id"))
+        best = stash(both.withColumn("place", place).where(F.col("place") <= wanted).drop("place"), "code-best")
+        near = F.count_if(F.col("distance") < len(sizes) * (radius + 1))  # within what is covered
+        state = stash(best.groupBy("query").agg((near >= wanted).alias("settled"), F.when(F.count("*") >= wanted, F.max("distance")).alias("bound")), "code-state")
+        settled = state.where("settled").select("query")
+        done.append(best.join(settled, "query", "left_semi"))
+        best = best.join(settled, "query", "left_anti")
+        active = active.drop("bound").join(state, "query", "left").where("settled IS NULL OR NOT settled").drop("settled")
+        if active.isEmpty():
             break
-    rows, code, apart = np.concatenate(found_q), np.concatenate(found_c), np.concatenate(found_d)
-    reach = (np.cumsum(counts, 1) < wanted).sum(1)  # the distance at which enough ids are held
-    kept = apart <= reach[rows]
-    rows, code, apart = rows[kept], code[kept], apart[kept]
-    order = np.argsort(rows, kind="stable")
-    cut = np.searchsorted(rows[order], np.arange(many + 1))
-    pairs = np.stack([apart[order], code[order]], 1)
-    return [pairs[a:b] for a, b in zip(cut[:-1], cut[1:])]
+    else:
+        done.append(best)  # fewer ids than wanted
+    return reduce(DataFrame.union, done)
 
 
 def top_k(codes: DataFrame, k: int, is_query) -> DataFrame:
-    """query_id, rank, vec_id, distance: of each row of ``codes`` (id, code) with ``is_query``, the k nearest other rows."""
-    codes = stash(codes, "codes")
-    wanted = k + 1  # a query's own row may be among them
-    distinct = stash(smallest_ids(codes, "code", wanted), "distinct-codes")
-    queries = codes.where(is_query)
-    asked = queries.select("code").distinct()
-    parts, blocks = max(1, -(-distinct.count() // PART_CODES)), max(1, -(-asked.count() // BLOCK_QUERIES))
-    left = distinct.withColumn("part", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-
-    def run(own: pa.Table, ask: pa.Table) -> pa.Table:
-        out = {"code": [], "vec_id": [], "distance": []}
-        if own.num_rows and ask.num_rows:
-            ids = own.column("ids").to_pylist()
-            found = search(bytes_matrix(own.column("code"), np.uint8), np.array([len(i) for i in ids]), bytes_matrix(ask.column("code"), np.uint8), wanted)
-            for code, pairs in zip(ask.column("code").to_pylist(), found):
-                for distance, vec_id in sorted((int(d), i) for d, c in pairs for i in ids[c])[:wanted]:
-                    out["code"].append(code)
-                    out["vec_id"].append(vec_id)
-                    out["distance"].append(distance)
-        return pa.table({"code": pa.array(out["code"], pa.binary()), "vec_id": pa.array(out["vec_id"], pa.int64()), "distance": pa.array(out["distance"], pa.int32())})
-
-    found = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInArrow(run, "code binary, vec_id long, distance int")
-    merged = found.withColumn("place", F.row_number().over(W.partitionBy("code").orderBy("distance", "vec_id"))).where(F.col("place") <= wanted)
-    pairs = queries.select(F.col("id").alias("query_id"), "code").join(merged, "code").where("vec_id <> query_id")
+    """query_id, rank, vec_id, distance: of each id of ``codes`` (id, code) with ``is_query``, the k nearest other ids."""
+    widths = codes.where("id IS NOT NULL AND octet_length(code) > 0").groupBy(F.octet_length("code").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    width = widths["width"] if widths else 1
+    codes = stash(codes.where((F.octet_length("code") == width) & F.col("id").isNotNull()).select("id", "code"), "codes")
+    # A query's own id may be among the nearest of its code, at each of its rows.
+    wanted = k + 1
+    distinct = stash(smallest_ids(codes.distinct(), "code", wanted), "distinct-codes")
+    sizes = segment_sizes(8 * width, distinct.count())
+    parts = distinct.select("code", "ids", segments(bit_text(F.col("code"), width), sizes).alias("parts"))
+    queries = codes.where(is_query).distinct()
+    asked = stash(queries.select("code").distinct().join(parts.drop("ids"), "code").select(F.col("code").alias("query"), F.col("parts").alias("own")), "asked-codes")
+    found = search(parts.select("parts", "ids"), asked, sizes, wanted)
+    pairs = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(found, "query").where("vec_id <> query_id")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
     ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "distance")
