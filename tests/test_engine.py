@@ -159,3 +159,36 @@ def test_predicates_reach_the_scan(spark, tmp_path):
         assert part in plan, plan
     limited = table.query("n > 5 | tail 3")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in limited
+
+
+def test_retention_finds_its_bound(spark):
+    r = random.Random(4)
+    for values in ([r.randint(-(1 << 62), 1 << 62) for _ in range(500)], [r.randint(0, 40) for _ in range(300)], [7] * 50, list(range(200))):
+        table = LogTable(spark.createDataFrame([(v, 1.0) for v in values], "_pos long, x double"))
+        for most in (0, 1, 17, 199, 1000):
+            assert sorted(row._pos for row in table.retained(most).df.collect()) == sorted(values)[max(0, len(values) - most) :], most
+    plan = LogTable(spark.range(1000).selectExpr("id AS _pos")).retained(10).df._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "TakeOrdered" not in plan
+    nulls = LogTable(spark.createDataFrame([(1,), (None,), (2,)], "_pos long"))
+    assert sorted(row._pos for row in nulls.retained(2).df.collect()) == [1, 2]
+
+
+def test_limits_beyond_one_sort(spark):
+    table = LogTable(spark.range(5).selectExpr("id AS _pos", "CAST(id AS STRING) AS raw"))
+    assert table.answer(f"| tail {1 << 40}") == "0\n1\n2\n3\n4" and table.answer(f"| limit {1 << 40}") == "0\n1\n2\n3\n4"
+
+
+def test_lines_that_only_look_whole(spark):
+    lines = ['{"a":1}', '{"a":1} x', '1],[2', '1},{"v":2', "1,2", "", " 3 ", '{"a":1}]', "[1", "null", '"s"', '{"k\'\\"":5}', '{"a":1,"a":2}', "nul"]
+    found = decoded(spark.createDataFrame(list(enumerate(lines)), "_pos long, value string"))
+    assert [row._pos for row in found.where("v IS NOT NULL").orderBy("_pos").collect()] == [0, 6, 9, 10, 11, 12]
+    table = LogTable(found.where("v IS NOT NULL"))
+    assert table.answer("a = 2 | count") == "1" and table.answer("k'\" = 5 | count") == "1" and table.answer("k'\" != 5 | count") == "0"
+    assert spark.conf.get("spark.sql.variant.allowDuplicateKeys") == "false"
+
+
+def test_a_line_is_parsed_once(spark):
+    lines = spark.range(10).selectExpr("id AS _pos", "to_json(struct(id AS a, id AS b, id AS c)) AS value")
+    table = LogTable(decoded(lines).where("v IS NOT NULL"))
+    plan = table.query("a > 3 AND b > 3 OR NOT c = 7 AND a < 9")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") <= 1 and plan.lower().count("parse_json") + plan.count("parseJson") <= 2, plan

@@ -103,3 +103,10 @@ def test_times():
         assert parse(f"t > {text}", "t", NOW).filter == TimeBound(since=want)
     assert parse("t < now", "t", NOW).filter == TimeBound(until=NOW)
     assert parse("t < now", None, NOW).filter == Compare("t", "<", "now")
+
+
+def test_tokens_are_parted_by_white_space_alone():
+    from tracequarry.plans.parser import tokenize
+
+    assert tokenize("a\x1cb = \u00a0c\u3000(d)") == ["a\x1cb", "=", "c", "(", "d", ")"]
+    assert tokenize(" \t\n") == [] and tokenize("((a") == ["(", "(", "a"]

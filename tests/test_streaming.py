@@ -1,7 +1,9 @@
 import os
 import time
 
-from tracequarry.sources.logtail import TailReader
+import pytest
+
+from tracequarry.sources.logtail import RangeLost, TailReader
 from tracequarry.streaming.watch import Watch, follow
 
 
@@ -41,7 +43,7 @@ def test_small_batches_hold_whole_lines(tmp_path):
 
 def test_watch_restarts_exactly_and_rewatches(spark, tmp_path):
     path, state = tmp_path / "a.log", str(tmp_path / "state")
-    path.write_text('{"n":1}\nbad\n{"n":2}\n')
+    path.write_text('{"n":1}\nbad\n{"n":1,"n":2}\n')
     watch = Watch(spark, str(path), state=state, every=None)
     assert watch.answer("| count") == "2"
     with path.open("a") as f:
@@ -70,3 +72,67 @@ def test_follow_sees_new_matching_lines_alone(spark, tmp_path):
         assert seen == ['{"level":"ERROR","n":2}']
     finally:
         running.stop()
+
+
+def drained(reader, at):
+    lines = []
+    while True:
+        rows, later = reader.read(at)
+        rows = list(rows)
+        if not rows and later == at:
+            return lines, at
+        lines += [r[1] for r in rows]
+        at = later
+
+
+def test_rotation_loses_no_line(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_bytes(b"1\n2\n3\n4\n")
+    reader = TailReader(str(path), "earliest", 4)
+    first = reader.initialOffset()
+    rows, at = reader.read(first)
+    assert [r[1] for r in rows] == ["1", "2"]
+    os.rename(path, tmp_path / "a.log.1")
+    path.write_bytes(b"5\n")
+    # What the renamed file still holds comes first, then the new one; positions rise.
+    lines, end = drained(reader, at)
+    assert lines == ["3", "4", "5"] and end["generation"] == 1
+    # A range that was read before the rotation is read from the renamed file.
+    assert [r[1] for r in reader.readBetweenOffsets(first, at)] == ["1", "2"]
+    (tmp_path / "a.log.1").unlink()
+    with pytest.raises(RangeLost):
+        reader.readBetweenOffsets(first, at)
+    assert [r[1] for r in reader.readBetweenOffsets(at, end)] == ["5"]
+    path.write_bytes(b"")
+    with pytest.raises(RangeLost):
+        reader.readBetweenOffsets(at, end)
+
+
+def test_stop_and_torn_lines(tmp_path):
+    path = tmp_path / "a.log"
+    path.write_bytes(b"1\n22\n")
+    reader = TailReader(str(path), "earliest", 3, (path.stat().st_ino, 5))
+    with path.open("ab") as f:
+        f.write(b"later\n")
+    assert drained(reader, reader.initialOffset())[0] == ["1", "22"]
+    torn = tmp_path / "torn.log"
+    torn.write_bytes(b"x" * 5_000_000)
+    reader = TailReader(str(torn), "earliest", 10)
+    assert drained(reader, reader.initialOffset())[0] == []
+    with torn.open("ab") as f:
+        f.write(b"y\nz\n")
+    assert [len(x) for x in drained(reader, reader.initialOffset())[0]] == [5_000_001, 1]
+
+
+def test_one_shot_takes_the_whole_file(spark, tmp_path):
+    path, state = tmp_path / "a.log", str(tmp_path / "state")
+    path.write_text("".join(f'{{"n":{i}}}\n' for i in range(3000)))
+    watch = Watch(spark, str(path), state=state, every=None, max_bytes=9000)
+    assert watch.answer("| count") == "3000" and watch.answer("| tail 1") == '{"n":2999}'
+    # Rotated and restarted: the rest of the renamed file and the new one.
+    with path.open("a") as f:
+        f.write('{"n":3000}\n')
+    os.rename(path, tmp_path / "a.log.1")
+    path.write_text('{"n":3001}\n')
+    again = Watch(spark, str(path), state=state, every=None, max_bytes=9000, max_events=1000)
+    assert again.answer("| count") == "1000" and again.answer("| min n") == "2002" and again.answer("| max n") == "3001"

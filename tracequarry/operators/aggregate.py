@@ -45,10 +45,8 @@ def aggregate(rows: DataFrame, stage: Aggregate, resolver) -> DataFrame:
     values = rows.select(x.alias("x"), wrong.alias("wrong"))
     counts = [F.count(F.lit(1)).alias("rows"), F.count_if("wrong").alias("wrong"), F.count("x").alias("found")]
     if stage.kind == "percentile":
-        totals = values.agg(*counts)
-        picked = percentile(values.select("x").where("x IS NOT NULL"), stage.percent)
-        both = totals.join(picked, F.lit(True), "left")  # one row each
-        return both.select(guarded(F.col("value"), F.col("rows"), F.col("wrong"), F.col("found"), stage.field).alias(name))
+        picked = percentile(values, stage.percent)
+        return picked.select(guarded(F.col("value"), F.col("rows"), F.col("wrong"), F.col("found"), stage.field).alias(name))
     found = {"avg": F.avg(F.col("x").cast("double")), "sum": F.sum(F.col("x").cast("double")), "min": F.min("x"), "max": F.max("x")}[stage.kind]
     totals = values.agg(*counts, found.cast("float").alias("value"))
     return totals.select(guarded(F.col("value"), F.col("rows"), F.col("wrong"), F.col("found"), stage.field).alias(name))
@@ -64,19 +62,24 @@ def octave_bucket(x: Column) -> Column:
 
 
 def percentile(values: DataFrame, percent: int) -> DataFrame:
-    """Nearest rank, the rank in 32-bit arithmetic: one row with ``value``, none without values.
+    """One row with ``value`` (nearest rank, the rank in 32-bit arithmetic), rows, wrong and found, from x and wrong.
 
-    Two passes of counting find it without a sort of the rows: over the buckets of
-    ``octave_bucket``, then over the distinct values of the one bucket that holds the rank (at most
-    2**15). So the two ordered windows are of bounded size.
+    Two scans find it without a sort of the rows: over the buckets of ``octave_bucket``, with the
+    counts for the guards beside them, then over the distinct values of the one bucket that holds
+    the rank (at most 2**15). So the two ordered windows are of bounded size.
     """
-    values = values.select("x", octave_bucket(F.col("x")).alias("bucket"))
+    values = values.withColumn("bucket", octave_bucket(F.col("x")))
     share = (F.lit(percent).cast("float") / F.lit(100).cast("float")).cast("float")
+    # Rows without a value are in the null bucket, which comes first and counts nothing.
+    buckets = values.groupBy("bucket").agg(F.count("x").alias("n"), F.count(F.lit(1)).alias("rows"), F.count_if("wrong").alias("wrong"))
     before = F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    buckets = values.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
     buckets = buckets.withColumns({"before": before, "total": F.sum("n").over(W.partitionBy())})
     rank = F.least(F.ceil((share * F.col("total").cast("float")).cast("float")).cast("long"), F.col("total"))
-    holder = buckets.withColumn("rank", rank).where("before < rank AND rank <= before + n").select("bucket", (F.col("rank") - F.col("before")).alias("rank"))
-    inside = values.join(F.broadcast(holder), "bucket").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
+    holds = (F.col("before") < rank) & (rank <= F.col("before") + F.col("n"))
+    holder = F.max(F.when(holds, F.struct("bucket", (rank - F.col("before")).alias("rank")))).alias("holder")
+    state = buckets.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("wrong"), F.coalesce(F.sum("n"), F.lit(0)).alias("found"), holder)
+    one = state.select("holder.*").where("bucket IS NOT NULL")
+    inside = values.select("x", "bucket").join(F.broadcast(one), "bucket").groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.first("rank").alias("rank"))
     upto = F.sum("n").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, 0))
-    return inside.withColumn("upto", upto).where("rank <= upto").agg(F.min("x").alias("value")).where("value IS NOT NULL")
+    picked = inside.withColumn("upto", upto).where("rank <= upto").agg(F.min("x").alias("value"))
+    return state.drop("holder").join(picked, F.lit(True), "left")  # one row each

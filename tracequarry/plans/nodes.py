@@ -65,3 +65,17 @@ class Limit:
 class Plan:
     filter: Filter
     stage: Aggregate | Limit | None = None
+
+
+def fields_of(plan: Plan) -> set[str]:
+    """The fields that the plan reads."""
+
+    def inside(node: Filter) -> set[str]:
+        if isinstance(node, Compare):
+            return {node.field}
+        if isinstance(node, Not):
+            return inside(node.part)
+        return set().union(*map(inside, node.parts)) if isinstance(node, (And, Or)) else set()
+
+    field = plan.stage.field if isinstance(plan.stage, Aggregate) else None
+    return inside(plan.filter) | ({field} if field else set())

@@ -48,28 +48,44 @@ class TypedResolver:
 
 
 class VariantResolver:
-    """A VARIANT column of a JSON object: each row's field has its own kind."""
+    """A VARIANT column of a JSON object: each row's field has its own kind.
+
+    ``ready``: fields that ``prepared`` has put into columns of their own, which are read instead.
+    """
 
     dynamic = True
     _TYPES = {NUMBER: "double", STRING: "string", BOOL: "boolean"}
 
-    def __init__(self, column: str = "v", hidden: tuple[str | None, ...] = ()):
-        self.column, self.hidden = column, hidden
+    def __init__(self, column: str = "v", hidden: tuple[str | None, ...] = (), ready: dict[str, str] | None = None):
+        self.column, self.hidden, self.ready = column, hidden, ready or {}
 
-    def path(self, field: str) -> str | None:
-        if field in self.hidden:
-            return None
+    def entry(self, field: str) -> Column:
+        """The field as VARIANT, null if the row hasn't got it."""
         if "'" not in field:
-            return f"$['{field}']"
-        return f'$["{field}"]' if '"' not in field else None
+            return F.try_variant_get(F.col(self.column), f"$['{field}']", "variant")
+        if '"' not in field:
+            return F.try_variant_get(F.col(self.column), f'$["{field}"]', "variant")
+        # A path can't hold both kinds of quotes, a map's key can.
+        return F.try_element_at(F.try_variant_get(F.col(self.column), "$", "map<string,variant>"), F.lit(field))
+
+    def prepared(self, df: DataFrame, fields: set[str]) -> tuple[DataFrame, VariantResolver, list[str]]:
+        """``df`` with each field taken out of the row once, a resolver of these columns, and their names."""
+        from ..sources.jsonl import once
+
+        names = {f: f"_field{i}" for i, f in enumerate(sorted(fields - set(self.hidden)))}
+        taken = df.withColumns({n: once(self.entry(f)) for f, n in names.items()}) if names else df
+        kinds = {n + "_kind": once(F.schema_of_variant(n)) for n in names.values()}
+        return (taken.withColumns(kinds) if kinds else taken), VariantResolver(self.column, self.hidden, names), [*names.values(), *kinds]
+
+    @staticmethod
+    def _kind(name: Column) -> Column:
+        number = name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
+        return F.when(number, NUMBER).when(name == "STRING", STRING).when(name == "BOOLEAN", BOOL)
 
     def found_kind(self, field: str) -> Column:
-        path = self.path(field)
-        if path is None:
+        if field in self.hidden:
             return F.lit(None).cast("string")
-        name = F.schema_of_variant(F.try_variant_get(F.col(self.column), path, "variant"))
-        number = name.isin("BIGINT", "DOUBLE", "FLOAT") | name.startswith("DECIMAL")
-        return F.when(number, NUMBER).when(name == "STRING", STRING).when(name == "BOOLEAN", BOOL)
+        return self._kind(F.col(self.ready[field] + "_kind") if field in self.ready else F.schema_of_variant(self.entry(field)))
 
     def present(self, field: str) -> Column:
         return self.found_kind(field).isNotNull()
@@ -78,8 +94,8 @@ class VariantResolver:
         return self.found_kind(field) == kind
 
     def value(self, field: str, kind: str) -> Column:
-        path = self.path(field)
-        if path is None:
+        if field in self.hidden:
             return F.lit(None).cast({NUMBER: "float", STRING: "string", BOOL: "boolean"}[kind])
-        found = F.when(self.is_kind(field, kind), F.try_variant_get(F.col(self.column), path, self._TYPES[kind]))
+        entry = F.col(self.ready[field]) if field in self.ready else self.entry(field)
+        found = F.when(self.is_kind(field, kind), F.try_variant_get(entry, "$", self._TYPES[kind]))
         return found.cast("float") if kind == NUMBER else found

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import LogTable
+from .session import LogTable, from_jsonl
 from .sources.jsonl import decoded
+from .streaming.watch import Watch
 
 TABLES = {
     "events": ("ts", ("event_id",), "event_id, ts, user_id, event_type, value, props"),
@@ -58,6 +63,7 @@ TYPED: dict[str, tuple[str, str, str]] = {
     "time_lt": ("events", "ts < 2024-01-10T01:00:00+01:00", "ts <= TIMESTAMP '2024-01-10 00:00:00'"),
     "time_range": ("events", "ts > 2024-01-10T00:00:00Z AND ts < 2024-01-12T12:30:00.5Z", "ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-12 12:30:00.5'"),
     "not_time": ("events", "NOT ts > 2024-01-10T00:00:00Z | count", "SELECT count(*) AS count FROM events WHERE NOT coalesce(ts >= TIMESTAMP '2024-01-10 00:00:00', false)"),
+    "time_now": ("events", "ts < now AND ts > 2024-01-10T00:00:00Z | count", "SELECT count(*) AS count FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= now()"),
     "time_relative": ("events", "ts > -100000d | count", "SELECT count(*) AS count FROM events"),
     "and": ("events", "event_type = error AND value > 50", f"event_type = 'error' AND {_F('value')} > {_F(50)}"),
     "or": ("events", "event_type = error OR user_id = 7", f"event_type = 'error' OR {_F('user_id')} = {_F(7)}"),
@@ -153,10 +159,7 @@ def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The filter on a stream of the table's files, run to their end into a Parquet table of the shared folder."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tracequarry-shared"
-    path = f"{shared.rstrip('/')}/follow-{uuid.uuid4().hex}"
+    path = fresh_folder(spark, "follow")
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     # A folder is streamed as it is; a single file by a pattern that only it matches.
@@ -166,10 +169,93 @@ def follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the cluster's shared one; in a temporary folder of this machine only under a local master."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        shared = f"file://{tempfile.gettempdir()}/tracequarry-shared"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def log_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Files of JSON lines in the shared folder: with carriage returns, a malformed line for each seventh event, and a torn last line."""
+    path = fresh_folder(spark, "lines")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    line = F.to_json(F.struct("event_id", "event_type", "value", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("at")))
+    value = "CASE WHEN event_id % 14 = 0 THEN concat(line, ' x') WHEN event_id % 7 = 0 THEN substring(line, 1, 20) ELSE line END AS value"
+    lines = events.select("event_id", line.alias("line")).selectExpr(value)
+    lines.select("value").write.option("lineSep", "\r\n").text(path)
+    spark.range(1).select(F.lit('{"event_id":-1,"event_type":"error"').alias("value")).write.mode("append").option("lineSep", " ").text(path)
+    return path
+
+
+def json_lines(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = from_jsonl(spark, log_folder(spark, sf_dir), "at").query(text)
+        return found if "raw" not in found.columns else found.select(F.try_variant_get("v", "$.event_id", "bigint").alias("event_id"))
+
+    return run
+
+
+#: Over files of JSON lines with malformed and torn lines: (query text, whole SQL).
+FILES: dict[str, tuple[str, str]] = {
+    "json_lines_count": ("| count", "SELECT count(*) AS count FROM events WHERE event_id % 7 <> 0"),
+    "json_lines_filter": ("event_type = error AND value > 100", f"SELECT event_id FROM events WHERE event_id % 7 <> 0 AND event_type = 'error' AND {_F('value')} > {_F(100)}"),
+    "json_lines_time": ("at > 2024-01-10T00:00:00Z AND at < now | count", "SELECT count(*) AS count FROM events WHERE event_id % 7 <> 0 AND ts >= TIMESTAMP '2024-01-10 00:00:00'"),
+    "json_lines_max": ("event_type = click | max value", f"SELECT max({_F('value')}) AS max FROM events WHERE event_id % 7 <> 0 AND event_type = 'click'"),
+}
+
+
+def watched(text: str, most: int = 2_000_000) -> Callable[[SparkSession, str], DataFrame]:
+    """The query on a watched log, read in several batches, rotated once and watched again by a new Watch.
+
+    The log is a file where the driver runs, in the shared folder, as a tailed log is in one place.
+    """
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = fresh_folder(spark, "watch")
+        events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id")
+        lines = events.select("event_id", F.to_json(F.struct("event_id", "event_type", "value")).alias("line"))
+        local = urlsplit(folder).path
+        os.makedirs(local)
+        path, state, count = f"{local}/app.log", f"{local}/state", lines.count()
+
+        def appended(rows: DataFrame, torn: str) -> None:
+            with open(path, "a", encoding="utf-8") as file:
+                file.writelines(row.line + "\n" for row in rows.select("line").toLocalIterator())
+                file.write(torn)
+
+        half = lines.offset(count // 2).first()
+        split = half["event_id"] if half else 0
+        appended(lines.where(F.col("event_id") < split), '{"event_id":-1,')
+        Watch(spark, path, state=state, every=None, max_bytes=256 << 10)
+        # Lines that come after the torn one is completed, a rotation, and a restart.
+        with open(path, "a", encoding="utf-8") as file:
+            file.write("\n")
+        os.rename(path, f"{path}.1")
+        appended(lines.where(F.col("event_id") >= split), "")
+        found = Watch(spark, path, state=state, every=None, max_events=most, max_bytes=1 << 20).query(text)
+        return found if "raw" not in found.columns else found.select(F.try_variant_get("v", "$.event_id", "bigint").alias("event_id"))
+
+    return run
+
+
+#: Over a watched log: (query text, newest events that count, whole SQL).
+WATCHED: dict[str, tuple[str, int, str]] = {
+    "watch_count": ("| count", 2_000_000, "SELECT count(*) AS count FROM events"),
+    "watch_filter": ("event_type = error AND value > 100", 2_000_000, f"SELECT event_id FROM events WHERE event_type = 'error' AND {_F('value')} > {_F(100)}"),
+    "watch_retained": ("event_type = view", 1000, "SELECT event_id FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 1000) WHERE event_type = 'view'"),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: typed(name) for name in TYPED}
     found |= {name: dynamic(text, props_lines, None) for name, (text, _) in DYNAMIC.items()}
     found |= {name: dynamic(text, event_lines, "at") for name, (text, _) in LINES.items()}
+    found |= {name: json_lines(text) for name, (text, _) in FILES.items()}
+    found |= {name: watched(text, most) for name, (text, most, _) in WATCHED.items()}
     return found | {"retention": retention, "follow": follow}
 
 
@@ -178,7 +264,8 @@ def oracle_sql() -> dict[str, str]:
     for name, (source, _, sql) in TYPED.items():
         columns = TABLES[source][2]
         found[name] = sql.replace("{columns}", columns) if sql.startswith("SELECT") else f"SELECT {columns} FROM {source} WHERE {sql}"
-    found |= {name: sql for name, (_, sql) in {**DYNAMIC, **LINES}.items()}
+    found |= {name: sql for name, (_, sql) in {**DYNAMIC, **LINES, **FILES}.items()}
+    found |= {name: sql for name, (_, _, sql) in WATCHED.items()}
     found["retention"] = "SELECT event_id, event_type FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 1000) WHERE event_type = 'error'"
     found["follow"] = f"SELECT event_id, value FROM events WHERE event_type = 'error' AND {_F('value')} > {_F(50)}"
     return found

@@ -12,7 +12,7 @@ from .functions.values import shown
 from .operators.aggregate import NO_EVENTS, AggregationError, aggregate
 from .operators.limits import limit, retained
 from .plans.compiler import Compiler
-from .plans.nodes import Aggregate, Limit
+from .plans.nodes import Aggregate, Limit, Plan, fields_of
 from .plans.parser import ParseError, parse
 from .plans.resolver import TypedResolver, VariantResolver
 from .sources.jsonl import read_jsonl, timestamp_of
@@ -47,16 +47,26 @@ class LogTable:
     def query(self, text: str, now: datetime | None = None) -> DataFrame:
         """The matching rows, or one row of an aggregation. An aggregation's errors show when it runs."""
         plan = parse(text, self.time_field, now)
-        rows = self.df.where(self.compiler.column(plan.filter))
+        rows, resolver, extra = self.matching(plan)
         if isinstance(plan.stage, Aggregate):
-            return aggregate(rows, plan.stage, self.resolver)
+            return aggregate(rows, plan.stage, resolver)
+        rows = rows.drop(*extra)
         return limit(rows, plan.stage, self.order_by) if isinstance(plan.stage, Limit) else rows
 
+    def matching(self, plan: Plan) -> tuple[DataFrame, TypedResolver | VariantResolver, list[str]]:
+        """The rows that the plan's filter keeps, how their fields are read, and the columns added for that."""
+        if not self.resolver.dynamic:
+            return self.df.where(self.compiler.column(plan.filter)), self.resolver, []
+        rows, resolver, extra = self.resolver.prepared(self.df, fields_of(plan))
+        compiler = Compiler(resolver, self.compiler.time_column, self.compiler.native)
+        return rows.where(compiler.column(plan.filter)), resolver, extra
+
     def follow(self, text: str, now: datetime | None = None) -> DataFrame:
         """The same filter for a streaming table; stages don't apply to a stream."""
         if "|" in text:
             raise ParseError("follow supports filters only, not '|' stages")
-        return self.df.where(self.compiler.column(parse(text, self.time_field, now).filter))
+        rows, _, extra = self.matching(parse(text, self.time_field, now))
+        return rows.drop(*extra)
 
     def retained(self, most: int = 2_000_000) -> LogTable:
         """The newest ``most`` rows."""

@@ -7,11 +7,14 @@ the block, so no pass over the data is needed to number the lines.
 from __future__ import annotations
 
 import zlib
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.resolver import VariantResolver
+
 #: RFC 3339 with date, time, seconds and zone. Fixed value.
 RFC3339 = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
 PREVIEW = 80
@@ -27,24 +30,49 @@ def timestamp_of(text: Column) -> Column:
     return F.when(text.rlike(RFC3339), F.try_to_timestamp(shape))
 
 
-def parsed(line: Column) -> Column:
-    """The line's VARIANT; null unless the whole line is one JSON value.
+def once(value: Column) -> Column:
+    """The same value, computed where it stands: the optimizer moves no copy of it into filters above."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+@contextmanager
+def duplicate_keys(spark: SparkSession):
+    """Parsing made inside takes objects with repeated keys; the session's setting is put back after."""
+    name = "spark.sql.variant.allowDuplicateKeys"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")  # read when an expression is made
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def listed(line: Column) -> Column:
+    """VARIANT of a list: the line's value, and a number of the line's own behind it; null if that is no JSON.
 
-    The parser stops after the first value, so a line counts only if it also parses inside a list and
-    inside an object, where text after the value would break it.
+    The parser stops after the first value, so the number is in its place only if the line is one value.
     """
-    whole = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"_":'), line, F.lit("}"))).isNotNull()
-    return F.when(whole, F.try_parse_json(line))
+    return F.try_parse_json(F.concat(F.lit("["), line, F.lit(","), F.xxhash64(line).cast("string"), F.lit("]")))
+
+
+def whole(pair: Column, line: Column) -> Column:
+    """Whether a line with that list is one JSON value."""
+    return F.coalesce(F.try_variant_get(pair, "$[1]", "bigint") == F.xxhash64(line), F.lit(False))
 
 
 def decoded(lines: DataFrame, time_field: str | None = None) -> DataFrame:
-    """From _pos and value (a line without its line feed) to _pos, _ts, raw and v; v is null if malformed."""
+    """From _pos and value (a line without its line feed) to _pos, _ts, raw and v; v is null if malformed.
+
+    Of duplicate keys the last one counts.
+    """
     raw = F.regexp_replace("value", "\r$", "")
-    rows = lines.select("_pos", raw.alias("raw"), parsed(raw).alias("v"))
+    with duplicate_keys(lines.sparkSession):
+        rows = lines.select("_pos", raw.alias("raw")).select("_pos", "raw", once(listed(F.col("raw"))).alias("pair"))
+        rows = rows.select("_pos", "raw", once(F.when(whole(F.col("pair"), F.col("raw")), F.try_variant_get("pair", "$[0]", "variant"))).alias("v"))
     at = F.lit(None).cast("timestamp")
     if time_field:
-        path = f"$['{time_field}']" if "'" not in time_field else f'$["{time_field}"]'
-        text = F.when(F.schema_of_variant(F.try_variant_get("v", path, "variant")) == "STRING", F.try_variant_get("v", path, "string"))
+        found = VariantResolver("v").entry(time_field)
+        text = F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
         at = timestamp_of(text)
     return rows.select("_pos", at.alias("_ts"), "raw", "v")
 
@@ -55,7 +83,6 @@ def read_jsonl(spark: SparkSession, path: str, time_field: str | None = None, st
     Strict: the first malformed line raises ``MalformedLine``. Else such lines are skipped.
     Duplicate keys: the last one counts.
     """
-    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     lines = spark.read.option("lineSep", "\n").text(path)
     lines = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
     # Ids rise within a file's block and blocks have their offsets, so both give the order of lines.
