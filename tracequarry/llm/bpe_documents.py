@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding of documents by the transducer of ``bpe_fst``.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to the empty
-text; a null id stays null; repeated rows give repeated results; an empty table gives an empty
+text; a very long text is encoded in parts and decoded 65,536 ids at a time; a null id stays null; repeated rows give repeated results; an empty table gives an empty
 result; other columns are not read, so their names can't clash.
 """
 

@@ -91,6 +91,8 @@ class Transducer:
     LONG = 256
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+        if max(ranks.values()) + 1 >= 1 << 17 or max(map(len, ranks)) > self.LONG:
+            raise ValueError(f"a vocabulary of fewer than {(1 << 17) - 1} ids, with tokens of at most {self.LONG} bytes")
         self.merges, self.ranks, self.max_states = Merges(ranks), ranks, max_states
         self.step: dict[int, int] = {}
         self.token = [-1]

@@ -32,7 +32,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(stashed: DataFrame) -> None:
+    """Deletes what ``stash`` wrote, once nothing that is still to run reads it."""
+    spark = stashed.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(stashed.stashed_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

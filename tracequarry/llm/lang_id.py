@@ -5,11 +5,14 @@ word for each of those; Viterbi over the words with a penalty for switching labe
 document's language is the one with the most letters' bytes, its score that language's share.
 
 The model is fitted on at most about ``fit_rows`` documents a language of no more than
-``fit_bytes`` bytes each, chosen by a hash of doc_id; of rows that repeat a doc_id the least counts.
+``fit_bytes`` bytes each, chosen by a hash of doc_id (of rows that repeat a doc_id the least counts),
+and on the ``most_languages`` most frequent values of lang. Tasks count the windows; the driver gets
+the sums, at most FEATURES a language.
 
 Defined cases: a null or letterless text is ``und`` with score 0 and no spans; without any
 labelled document every text is ``und``; of equal shares the alphabetically first language wins;
-a null doc_id is kept and never fitted on; repeated rows give repeated results; an empty table
+a null doc_id is kept and never fitted on; a very long text is scored SCORE_BYTES at a time and
+labelled as a whole; repeated rows give repeated results; an empty table
 gives an empty result; other columns are passed through by ``identify`` only if named in ``keep``.
 """
 
@@ -47,6 +50,10 @@ SIZES = (1 << 14, 1 << 16, 1 << 16)
 OFFSETS = (0, SIZES[0], SIZES[0] + SIZES[1])
 FEATURES = sum(SIZES)
 PENALTY, SCALE, RARE_SCRIPT = 6.0, 0.5, 0.005
+#: Bytes of text whose windows are scored at once, but for a longer word.
+SCORE_BYTES = 1 << 18
+#: Far below any sum of scores, as minus infinity would spoil the differences that the chains take.
+EXCLUDED = -1e15
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -112,43 +119,65 @@ class LanguageModel:
     def label(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
         """The words, and the language number of each."""
         words = words_with_scripts(data, offsets)
-        found = grams(data, offsets)
-        scores = self.weights[found[0]] + self.weights[found[1]] + self.weights[found[2]]
-        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(scores, axis=0, dtype=np.float64)])
-        emissions = (sums[words.ends] - sums[words.starts]) * (words.letters > 0)[:, None]
-        emissions = np.where(self.allowed[words.script], emissions, emissions - 50.0) if len(words.starts) else emissions
+        emissions = np.empty((len(words.starts), len(self.languages)))
+        at = 0
+        while at < len(words.starts):
+            # Words from one place on; windows don't look beyond a word's ends.
+            first = words.starts[at]
+            to = max(at + 1, int(np.searchsorted(words.ends, first + SCORE_BYTES, side="right")))
+            part = data[first : words.ends[to - 1]]
+            edges = np.unique(np.concatenate([[0, len(part)], np.clip(offsets - first, 0, len(part))]))
+            two, three, four = grams(part, edges)
+            sums = np.zeros((len(part) + 1, len(self.languages)))
+            np.cumsum(self.weights[two] + self.weights[three] + self.weights[four], axis=0, dtype=np.float64, out=sums[1:])
+            emissions[at:to] = sums[words.ends[at:to] - first] - sums[words.starts[at:to] - first]
+            at = to
+        emissions *= (words.letters > 0)[:, None]
+        # A language that isn't written in a word's script is no candidate.
+        emissions[~self.allowed[words.script] & (words.letters > 0)[:, None]] = EXCLUDED
         counts = np.bincount(words.rows, minlength=len(offsets) - 1)
         held = counts > 0
         return words, best_states(emissions, counts[held], self.penalty) if held.any() else np.zeros(0, np.int64)
 
 
-def fit(docs: DataFrame, fit_rows: int = 400, fit_bytes: int = 1 << 16) -> LanguageModel:
+def fit(docs: DataFrame, fit_rows: int = 400, fit_bytes: int = 1 << 16, most_languages: int = 256) -> LanguageModel:
     """A model of the labelled documents that aren't held out."""
     need(docs, "doc_id", "text", "lang")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.octet_length("text") <= fit_bytes))
-    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    languages = sorted(sizes)
     if not sizes:
         return LanguageModel([], np.zeros((FEATURES, 0), np.float32), np.zeros((len(SCRIPTS), 0), bool))
     # A chance by language keeps the sample's expected size at fit_rows for each.
     chance = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rates = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(fit_rows / n))))
+    numbers = F.create_map(*(x for i, lang in enumerate(languages) for x in (F.lit(lang), F.lit(i))))
     # One row an id: a repeated id, even a third of all rows, doesn't make the sample grow.
     one = F.min(F.struct("text", "lang")).alias("one")
-    sample = rows.where(chance < F.element_at(rates, F.col("lang"))).groupBy("doc_id").agg(one).select("one.*").toArrow()
-    languages = sorted(set(sample.column("lang").to_pylist()) or set(sizes))
-    counts, scripts = np.zeros((FEATURES, len(languages))), np.zeros((len(SCRIPTS), len(languages)))
-    for number, lang in enumerate(languages):
-        own = sample.filter(pa.compute.equal(sample.column("lang"), lang))
-        for batch in own.to_batches():
-            for part in slices(batch, "text"):
-                data, offsets = text_buffer(part.column("text"))
-                words = words_with_scripts(data, offsets)
-                inside = np.repeat(words.letters > 0, words.ends - words.starts)
-                places = np.flatnonzero(~np.isin(data, np.frombuffer(b" \t\n\v\f\r", np.uint8)))[inside]
-                for found in grams(data, offsets):
-                    counts[:, number] += np.bincount(found[places], minlength=FEATURES)
-                scripts[:, number] += np.bincount(words.script[words.letters > 0], minlength=len(SCRIPTS))
+    sample = rows.where(chance < F.try_element_at(rates, F.col("lang"))).groupBy("doc_id").agg(one).select("one.text", F.element_at(numbers, F.col("one.lang")).alias("number"))
+
+    def run(batches):
+        """number, feature, times: windows, and words by script behind them."""
+        for batch in batches:
+            for number in sorted(set(batch.column("number").to_pylist())):
+                own = batch.filter(pa.compute.equal(batch.column("number"), number))
+                counts = np.zeros(FEATURES + len(SCRIPTS), np.int64)
+                for part in slices(own, "text"):
+                    data, offsets = text_buffer(part.column("text"))
+                    words = words_with_scripts(data, offsets)
+                    inside = np.repeat(words.letters > 0, words.ends - words.starts)
+                    places = np.flatnonzero(~np.isin(data, np.frombuffer(b" \t\n\v\f\r", np.uint8)))[inside]
+                    for found in grams(data, offsets):
+                        counts[:FEATURES] += np.bincount(found[places], minlength=FEATURES)
+                    counts[FEATURES:] += np.bincount(words.script[words.letters > 0], minlength=len(SCRIPTS))
+                held = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held), number, np.int32)), pa.array(held.astype(np.int32)), pa.array(counts[held])], ["number", "feature", "times"])
+
+    sums = sample.mapInArrow(run, "number int, feature int, times long").groupBy("number", "feature").agg(F.sum("times").alias("times")).toArrow()
+    both = np.zeros((FEATURES + len(SCRIPTS), len(languages)))
+    both[sums.column("feature").to_numpy(), sums.column("number").to_numpy()] = sums.column("times").to_numpy()
+    counts, scripts = both[:FEATURES], both[FEATURES:]
     weights = np.zeros_like(counts)
     for at, size in zip(OFFSETS, SIZES):
         own = counts[at : at + size] + 0.5

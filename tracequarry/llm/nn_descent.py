@@ -9,7 +9,8 @@ double precision.
 
 Defined cases: vectors that are null, empty, zero, of another dimension than most, or that hold null
 or non-finite components take no part, nor do rows with a null id; equal vectors have equal scores,
-and ids break ties; fewer than k candidates are all returned if the graph reaches them (it does, if
+and ids break ties; an id that stands at several rows is, as a query, each of its vectors, and is found
+once, with its best score; fewer than k candidates are all returned if the graph reaches them (it does, if
 they fit into one block); an empty table gives an empty result; other columns aren't read.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix64, stash
+from .common import discard, mix64, stash
 from .vectors import bytes_matrix, matrix, smallest_ids, valid_vectors
 
 #: Neighbours kept, trees and size of their blocks, reverse neighbours joined.
@@ -40,7 +41,7 @@ def unit_nodes(table: DataFrame, id_col: str, vector_col: str, ids: int) -> tupl
     rows = valid_vectors(table, id_col, vector_col).where(F.exists("vector", lambda x: x != 0)).withColumn("size", F.size("vector"))
     usual = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
     dimension = usual["size"] if usual else 1
-    distinct = smallest_ids(rows.where(F.col("size") == dimension).select("id", "vector"), "vector", ids)
+    distinct = smallest_ids(rows.where(F.col("size") == dimension).select("id", "vector").distinct(), "vector", ids)
 
     def run(batches):
         for batch in batches:
@@ -64,7 +65,8 @@ def planes_of(dimension: int, bits: int) -> np.ndarray:
 
 def nearest(edges: DataFrame, many: int) -> DataFrame:
     """Each node's ``many`` nearest distinct neighbours; an edge is fresh if it is so wherever it occurs."""
-    best = edges.groupBy("node", "other").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
+    # Dealt by node once, for both the edges that occur several times and the ranking.
+    best = edges.repartition("node").groupBy("node", "other").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("near"), "other"))
     return best.withColumn("place", place).where(F.col("place") <= many).drop("place")
 
@@ -100,15 +102,15 @@ def first_graph(nodes: DataFrame, dimension: int, count: int) -> DataFrame:
 
 
 def around(graph: DataFrame) -> DataFrame:
-    """at, node, near: each node's neighbours, and some that it is a neighbour of (the nearest of these)."""
+    """at, node: each node's neighbours, and some that it is a neighbour of (the nearest of these); a pair may come twice."""
     back = graph.withColumn("place", F.row_number().over(W.partitionBy("other").orderBy(F.desc("near"), "node"))).where(F.col("place") <= REVERSE)
-    return graph.select(F.col("node").alias("at"), F.col("other").alias("node")).union(back.select(F.col("other").alias("at"), "node")).distinct()
+    return graph.select(F.col("node").alias("at"), F.col("other").alias("node")).union(back.select(F.col("other").alias("at"), "node"))
 
 
 def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """One round: neighbours of a node are compared with one another; each node keeps its nearest. Edges that it had not are fresh."""
     least = graph.groupBy("node").agg(F.when(F.count("*") >= DEGREE, F.min("near")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
-    met = around(graph).join(nodes.select("node", "unit"), "node").join(least, "node")
+    met = around(graph).join(nodes.select("node", "unit").join(least, "node"), "node")
     met = met.repartition("at").sortWithinPartitions("at", "node")
 
     def run(batches):
@@ -128,7 +130,9 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
         if not table.num_rows:
             return
         at, names, least = table.column("at").to_numpy(), table.column("node").to_numpy(), table.column("least").to_numpy()
-        x = bytes_matrix(table.column("unit"), np.float32)
+        once = np.concatenate([[True], (at[1:] != at[:-1]) | (names[1:] != names[:-1])])
+        at, names, least = at[once], names[once], least[once]
+        x = bytes_matrix(table.column("unit"), np.float32)[once]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         size = np.diff(np.append(first, len(at)))
         for k in range(0, len(first), 256):
@@ -151,7 +155,8 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 def build_graph(nodes: DataFrame, dimension: int) -> DataFrame:
     graph = first_graph(nodes, dimension, nodes.count())
     while True:
-        graph = descend(graph, nodes)
+        before, graph = graph, descend(graph, nodes)
+        discard(before)
         fresh, edges = graph.agg(F.count_if("fresh"), F.count("*")).first()
         if fresh <= SETTLED * edges:
             return graph
@@ -181,7 +186,7 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame) -> Data
     """query, node, near: the beams of ``starts`` (query, node, unit of the query) after the walk."""
     units = nodes.select("node", F.col("unit").alias("to"))
     queries = stash(starts.select("query", "unit").distinct(), "queries")
-    links = stash(around(graph).withColumnsRenamed({"at": "from", "node": "node"}), "links")
+    links = stash(around(graph).distinct().withColumnRenamed("at", "from"), "links")
     beam = starts.select("query", "node").distinct().join(units, "node").join(queries, "query").select("query", "node", dots("unit", "to").alias("near"), F.lit(False).alias("done"))
     beam = stash(beam, "beam")
     while True:
@@ -192,7 +197,8 @@ def greedy_search(starts: DataFrame, graph: DataFrame, nodes: DataFrame) -> Data
         fresh = met.join(units, "node").join(queries, "query").select("query", "node", dots("unit", "to").alias("near"), F.lit(False).alias("done"))
         both = ranked.select("query", "node", "near", (F.col("done") | F.col("now")).alias("done")).union(fresh)
         place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("near"), "node"))
-        beam = stash(both.withColumn("place", place).where(F.col("place") <= BEAM).drop("place"), "beam")
+        before, beam = beam, stash(both.withColumn("place", place).where(F.col("place") <= BEAM).drop("place"), "beam")
+        discard(before)
         if beam.where("NOT done").isEmpty():
             return beam.select("query", "node", "near")
 
@@ -212,5 +218,6 @@ def top_k(table: DataFrame, k: int, id_col: str, vector_col: str, is_query) -> D
     exact = found.join(vectors, "node").join(nodes.select(F.col("node").alias("query"), F.col("vector").alias("asked")), "query")
     exact = exact.select(F.col("query").alias("node"), "ids", cosines("asked", "vector").alias("score"))
     pairs = queries.join(exact, "node").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    pairs = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

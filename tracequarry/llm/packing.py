@@ -6,8 +6,9 @@ key, and each range is one stream of ids that is cut every ``length`` ids. What
 range's end is cut into powers of two, so no sequence needs padding.
 
 Defined cases: a null text counts as empty and has the end id alone; a null doc_id is kept;
-repeated rows are packed as often as they occur, ordered by key, doc_id and text; an empty table
-gives no pieces; other columns are not read.
+repeated rows are packed as often as they occur, ordered by key, doc_id and their place in the table,
+so a hot key or id is dealt to several ranges; a very long text is encoded in parts and its pieces go
+out with its batch; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
@@ -145,8 +146,8 @@ def in_curve_order(docs: DataFrame) -> DataFrame:
     """doc_id and text, range-sorted along the curve; equal keys are parted by doc_id."""
     need(docs, "doc_id", "text")
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
-    rows = rows.withColumn("curve", curve_key(F.coalesce("text", F.lit(""))))
-    return rows.repartitionByRange("curve", "doc_id").sortWithinPartitions("curve", "doc_id", "text").select("doc_id", "text")
+    rows = rows.withColumns({"curve": curve_key(F.coalesce("text", F.lit(""))), "place": F.monotonically_increasing_id()})
+    return rows.repartitionByRange("curve", "doc_id", "place").sortWithinPartitions("curve", "doc_id", "place").select("doc_id", "text")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, length: int = 1024, encode_special_tokens: bool = True) -> DataFrame:

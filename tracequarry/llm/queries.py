@@ -65,8 +65,8 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    found = lang_id.identify(docs.select("doc_id", "text", lang_id.held_out().alias("held_out")), lang_id.fit(docs), spans=False, keep=("held_out",))
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    found = lang_id.identify(docs.select("doc_id", "text", lang_id.held_out().alias("held_out")), lang_id.fit(docs), keep=("held_out",))
+    return found.select("doc_id", "held_out", "lang_pred", "score", "spans")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    found = toxicity.score(docs.select("doc_id", "text", lang_id.held_out().alias("held_out")), model, spans=False, keep=("held_out",))
-    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    found = toxicity.score(docs.select("doc_id", "text", lang_id.held_out().alias("held_out")), model, keep=("held_out",))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic_spans")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

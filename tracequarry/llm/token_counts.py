@@ -7,7 +7,8 @@ boundary: ``first`` (default), ``last`` or ``middle`` character of the token.
 Defined cases: a null or empty text has no tokens, and one empty section if sections are lines;
 spans may overlap or leave gaps (a token then counts for each, or none); a null list of sections
 gives no rows, a null bound counts as 0 (begin) or the text's end (end); a null doc_id is kept;
-repeated rows give repeated results; an empty table gives an empty result.
+repeated rows give repeated results; a very long text is encoded in parts; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations

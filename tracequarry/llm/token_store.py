@@ -8,8 +8,10 @@ index is always written, so a range of documents reads only its pages, and a rea
 columns never touches the ids.
 
 Defined cases: a null text counts as empty and has the end id alone; a null doc_id is kept and
-comes first; rows that repeat a doc_id are ordered by their text; an empty table gives an empty
-store; other columns are not read.
+comes first; rows that repeat a doc_id are ordered by the first characters of their text, then by
+their place in the table, so even a third of all rows with one id is dealt to several shards; a very
+long text is encoded in parts, and its ids are one list (of fewer than 2**31); an empty table gives
+an empty store; other columns are not read.
 """
 
 from __future__ import annotations
@@ -62,9 +64,12 @@ def write_store(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, en
                 total += int(ends[-1])
 
     rows = docs.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "CAST(text AS STRING) AS text")
+    rows = rows.withColumns({"head": F.substring("text", 1, 16), "place": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), "head", "place"]
     (
-        rows.repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        rows.repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
         .mapInArrow(run, COLUMNS)
         .write.mode("overwrite")
         .option("compression", "zstd")

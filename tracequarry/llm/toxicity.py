@@ -14,7 +14,8 @@ least text counts); the chain's weights on at most ``CHAIN_ROWS`` of each label.
 
 Defined cases: a null or empty text has the score of a text without toxic words and no spans;
 without documents of both labels every score is the smoothed share of toxic ones; null labels and
-null ids aren't fitted on; repeated rows give repeated results; an empty table gives an empty
+null ids aren't fitted on; a very long text takes memory in proportion to its words, about 150 bytes
+each; repeated rows give repeated results; an empty table gives an empty
 result; other columns are passed through by ``score`` only if named in ``keep``.
 """
 
