@@ -11,7 +11,7 @@ from tests.llm.test_pipeline import SCHEMA
 from tests.llm.test_searches import brute_classes
 from tracequarry.llm import queries
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def corpus(seed: int = 3):

@@ -44,7 +44,15 @@ def discard(stashed: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Rows of a batch between Spark and a worker. Rows of text are long: 10,000 of them (the default) take tens of MB on both sides.
+BATCH_ROWS = 1000
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; of it and of all that is made of it, small batches go to the workers (unless the session says how many)."""
+    name_of_rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name_of_rows) == "10000":
+        spark.conf.set(name_of_rows, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -36,7 +36,7 @@ from .common import lowered, mix64, need, slices, span_hashes, stash, text_buffe
 from .components import connected_components
 
 #: Tokens that a range holds on average, and that a map task gathers before it sends them on.
-RANGE_TOKENS, FLUSH_TOKENS = 1_500_000, 1_500_000
+RANGE_TOKENS, FLUSH_TOKENS = 1_500_000, 1_000_000
 #: Ranges at most: with 100 TB of text each then holds about 16 million tokens.
 RANGES_MOST = 1 << 20
 #: Documents sampled to find very frequent tokens, the share of them that makes a token so, and how many at most.

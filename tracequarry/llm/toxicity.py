@@ -117,6 +117,8 @@ def some_rows(tokens: Tokens, kept: np.ndarray) -> Tokens:
     """The tokens of the rows that are kept."""
     own = kept[tokens.rows]
     rows = (np.cumsum(kept) - 1)[tokens.rows[own]]
+    if tokens.starts is tokens.rows:  # places aren't kept
+        return Tokens(rows, rows, rows, tokens.features[own], tokens.counts[kept])
     return Tokens(tokens.starts[own], tokens.ends[own], rows, tokens.features[own], tokens.counts[kept])
 
 
@@ -137,9 +139,7 @@ def one_of_copies(tokens: Tokens) -> np.ndarray:
 
 
 def train(tokens: Tokens, toxic: np.ndarray, odds: float) -> ToxicityModel:
-    """odds: how many times as frequent clean documents are as in the sample, against toxic ones."""
-    kept = one_of_copies(tokens)
-    tokens, toxic = some_rows(tokens, kept), toxic[kept]
+    """``tokens``: one of copies. odds: how many times as frequent clean documents are as in the sample, against toxic ones."""
     everything, every_label = tokens, toxic
     all_labels = label_tokens(tokens, toxic)
     chosen = np.zeros(len(toxic), bool)
@@ -214,19 +214,25 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 1000, fit_bytes: int
     sample = once.repartition(1).sortWithinPartitions("doc_id", "text", "toxic").select("text", "toxic")
 
     def run(batches):
-        parts, toxic = [], []
+        features, rows, counts, toxic, first = [], [], [], [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                parts.append(tokens_of(*text_buffer(part.column("text"))))
+                tokens = tokens_of(*text_buffer(part.column("text")))
+                features.append(tokens.features)
+                rows.append(tokens.rows + first)
+                counts.append(tokens.counts)
                 toxic.append(part.column("toxic").to_numpy().astype(np.int64))
+                first += part.num_rows
         labels = np.concatenate(toxic) if toxic else np.zeros(0, np.int64)
         if (labels == 1).any() and (labels == 0).any():
-            firsts = np.cumsum([0] + [len(p.counts) for p in parts])
-            of = np.concatenate([p.rows + f for p, f in zip(parts, firsts)])
-            features, counts = np.concatenate([p.features for p in parts]), np.concatenate([p.counts for p in parts])
+            # Only what the fit reads, and no second copy while it runs.
+            of = np.concatenate(rows)
+            tokens = Tokens(of, of, of, np.concatenate(features), np.concatenate(counts))
+            features.clear(), rows.clear()
             odds = many / few * (labels == 1).sum() / (labels == 0).sum()
-            model = train(Tokens(of, of, of, features, counts), labels, float(odds))
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+            kept = one_of_copies(tokens)
+            tokens, labels = some_rows(tokens, kept), labels[kept]
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(tokens, labels, float(odds)))], pa.binary())], ["model"])
 
     found = sample.mapInArrow(run, "model binary").collect()
     return pickle.loads(bytes(found[0].model)) if found else empty
