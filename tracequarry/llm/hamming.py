@@ -4,7 +4,9 @@ The code is cut into m segments of about log2(codes) bits. The index is a table
 its value, and the distinct codes that have it there. Radius by radius, each query that isn't done
 probes the buckets whose value differs from its own in exactly that many bits, by a join on segment
 and value; what it finds is verified by the whole distance. After radius r every code within
-m * (r + 1) - 1 is known, so a query is done once that many verified ids are as near as that.
+m * (r + 1) - 1 is known, so a query is done once that many verified ids are as near as that. Once
+enough ids are found, the distance of the kth bounds what is left: at radius r only so many segments
+are probed that every code up to that distance is known, and then the query is done.
 
 A pair of query and code is taken only at its smallest segment distance, and of equal ones at the
 first segment, so no pair is verified twice and none has to be remembered. A bucket of many codes is
@@ -93,7 +95,9 @@ def probes(active: DataFrame, sizes: list[int], radius: int) -> DataFrame:
 
     def around(i: int, bits: int) -> Column:
         near = F.array(*(F.lit(m).cast("long") for m in masks(bits, radius)))
-        return F.transform(near, lambda m: F.struct(F.lit(i).alias("segment"), F.get("own", F.lit(i)).bitwiseXOR(m).alias("value")))
+        # Codes that aren't known yet differ by radius in each segment at least, by one more in those probed now.
+        needed = F.col("bound").isNull() | (F.col("bound") >= radius * len(sizes) + i)
+        return F.transform(F.when(needed, near).otherwise(F.array().cast("array<bigint>")), lambda m: F.struct(F.lit(i).alias("segment"), F.get("own", F.lit(i)).bitwiseXOR(m).alias("value")))
 
     values = [around(i, n) for i, n in enumerate(sizes) if radius <= n]
     return active.select("query", "own", "bound", F.explode(F.concat(*values)).alias("p")).select("query", "own", "bound", "p.*")
@@ -122,8 +126,11 @@ def search(distinct: DataFrame, asked: DataFrame, sizes: list[int], wanted: int)
         both = (found if best is None else best.union(found)).groupBy("query", "vec_id").agg(F.min("distance").alias("distance"))
         place = F.row_number().over(W.partitionBy("query").orderBy("distance", "vec_id"))
         best = stash(both.withColumn("place", place).where(F.col("place") <= wanted).drop("place"), "code-best")
-        near = F.count_if(F.col("distance") < len(sizes) * (radius + 1))  # within what is covered
-        state = stash(best.groupBy("query").agg((near >= wanted).alias("settled"), F.when(F.count("*") >= wanted, F.max("distance")).alias("bound")), "code-state")
+        within = len(sizes) * (radius + 1)  # every code nearer than this is known, where all segments were probed
+        near, known = F.count_if(F.col("distance") < within), active.select("query", F.col("bound").alias("earlier"))
+        state = best.groupBy("query").agg((near >= wanted).alias("enough"), F.when(F.count("*") >= wanted, F.max("distance")).alias("bound"))
+        # Where not all were, the bound of the round before is covered.
+        state = stash(state.join(known, "query").select("query", (F.col("enough") | F.coalesce(F.col("earlier") < within, F.lit(False))).alias("settled"), "bound"), "code-state")
         settled = state.where("settled").select("query")
         done.append(best.join(settled, "query", "left_semi"))
         best = best.join(settled, "query", "left_anti")
