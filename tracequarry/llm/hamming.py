@@ -134,7 +134,8 @@ def search(distinct: DataFrame, asked: DataFrame, sizes: list[int], wanted: int)
         settled = state.where("settled").select("query")
         done.append(best.join(settled, "query", "left_semi"))
         best = best.join(settled, "query", "left_anti")
-        active = active.drop("bound").join(state, "query", "left").where("settled IS NULL OR NOT settled").drop("settled")
+        # Written out, so that a round's plan doesn't hold the rounds before it.
+        active = stash(active.drop("bound").join(state, "query", "left").where("settled IS NULL OR NOT settled").drop("settled"), "code-active")
         if active.isEmpty():
             break
     else:
