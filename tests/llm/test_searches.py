@@ -159,6 +159,14 @@ def test_hamming_probes_few_codes(spark):
     assert found == 600
 
 
+def test_hamming_never_broadcasts_probes(spark):
+    codes = spark.createDataFrame([([i, i % 7], [i]) for i in range(64)], "parts array<long>, ids array<long>")
+    buckets = hamming.bucket_table(codes)
+    asked = codes.select(F.lit(b"q").alias("query"), F.col("parts").alias("own"), F.lit(None).cast("int").alias("bound"))
+    found = hamming.opened(hamming.probes(asked, [8, 8], 2), buckets.select("segment", "value", "cuts").distinct(), buckets)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+
+
 def test_nn_descent_recall(spark):
     x = vectors(2, 1200)
     x[1199] = 0

@@ -86,7 +86,8 @@ def bucket_table(distinct: DataFrame) -> DataFrame:
     """segment, value, cut, cuts, codes (array of parts and ids): a bucket's codes, at most about CUT_CODES in a cut."""
     placed = distinct.select("parts", "ids", F.posexplode("parts").alias("segment", "value"))
     held = placed.groupBy("segment", "value").agg(F.ceil(F.count("*") / CUT_CODES).cast("int").alias("cuts"))
-    placed = placed.join(held, ["segment", "value"]).withColumn("cut", F.pmod(F.xxhash64("parts"), F.col("cuts")).cast("int"))
+    # The planner takes exploded rows for no larger than what they came from: never broadcast them.
+    placed = placed.hint("merge").join(held, ["segment", "value"]).withColumn("cut", F.pmod(F.xxhash64("parts"), F.col("cuts")).cast("int"))
     return placed.groupBy("segment", "value", "cut", "cuts").agg(F.collect_list(F.struct("parts", "ids")).alias("codes"))
 
 
@@ -103,6 +104,16 @@ def probes(active: DataFrame, sizes: list[int], radius: int) -> DataFrame:
     return active.select("query", "own", "bound", F.explode(F.concat(*values)).alias("p")).select("query", "own", "bound", "p.*")
 
 
+def opened(probed: DataFrame, held: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The probes of buckets that hold codes, with the codes of each cut.
+
+    Both joins shuffle: probes are many for each query, which the planner's size of them doesn't show.
+    """
+    hits = probed.hint("merge").join(held, ["segment", "value"])
+    hits = hits.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    return hits.hint("merge").join(buckets.drop("cuts"), ["segment", "value", "cut"])
+
+
 def verified(found: DataFrame, radius: int, many: int) -> DataFrame:
     """query, vec_id, distance of the probed pairs that no smaller radius and no earlier segment gives."""
     apart = [F.bit_count(F.get("own", F.lit(i)).bitwiseXOR(F.get("code.parts", F.lit(i)))) for i in range(many)]
@@ -120,9 +131,7 @@ def search(distinct: DataFrame, asked: DataFrame, sizes: list[int], wanted: int)
     held = stash(buckets.select("segment", "value", "cuts").distinct(), "code-bucket-sizes")  # probes of empty buckets end here
     active, best, done = asked.withColumn("bound", F.lit(None).cast("int")), None, []
     for radius in range(max(sizes) + 1):
-        hits = probes(active, sizes, radius).join(held, ["segment", "value"])
-        hits = hits.withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
-        found = verified(hits.join(buckets.drop("cuts"), ["segment", "value", "cut"]), radius, len(sizes))
+        found = verified(opened(probes(active, sizes, radius), held, buckets), radius, len(sizes))
         both = (found if best is None else best.union(found)).groupBy("query", "vec_id").agg(F.min("distance").alias("distance"))
         place = F.row_number().over(W.partitionBy("query").orderBy("distance", "vec_id"))
         best = stash(both.withColumn("place", place).where(F.col("place") <= wanted).drop("place"), "code-best")
