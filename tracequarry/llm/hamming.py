@@ -59,8 +59,8 @@ def sign_codes(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def segment_sizes(width: int, codes: int) -> list[int]:
-    """Bits of each segment: about log2(codes), so that a bucket holds about one code."""
-    bits = int(np.clip(round(math.log2(max(codes, 2))), *SEGMENT_BITS))
+    """Bits of each segment: at most log2(codes), so that few probes meet an empty bucket."""
+    bits = int(np.clip(int(math.log2(max(codes, 2))), *SEGMENT_BITS))
     count = max(1, -(-width // bits))
     return [width // count + (i < width % count) for i in range(count)]
 
