@@ -136,3 +136,24 @@ def test_one_shot_takes_the_whole_file(spark, tmp_path):
     path.write_text('{"n":3001}\n')
     again = Watch(spark, str(path), state=state, every=None, max_bytes=9000, max_events=1000)
     assert again.answer("| count") == "1000" and again.answer("| min n") == "2002" and again.answer("| max n") == "3001"
+
+
+def events_of(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "event_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+def test_watched_log_is_written_without_the_driver(spark, tmp_path, monkeypatch):
+    from tracequarry.queries import middle, queries
+
+    folder = events_of(spark, tmp_path, [(i if i % 100 else None, "view", float(i)) for i in range(3000)])
+    assert middle(spark.read.parquet(f"{folder}/events.parquet")) == 1501  # of 1 to 2999 without the hundreds
+
+    def refused(self, *args, **kwargs):
+        raise AssertionError("rows of the log come to the driver")
+
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", refused)
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.offset", refused)
+    found = queries()["watch_retained"](spark, folder)
+    # The newest 1000 events; rows without an id are before all others.
+    assert sorted(r.event_id for r in found.collect()) == [i for i in range(3000) if i % 100][-1000:]

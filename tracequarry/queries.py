@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,6 +12,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.limits import position_bound
 from .session import LogTable, from_jsonl
 from .sources.jsonl import decoded
 from .streaming.watch import Watch
@@ -208,7 +210,26 @@ FILES: dict[str, tuple[str, str]] = {
 }
 
 
-def watched(text: str, most: int = 2_000_000) -> Callable[[SparkSession, str], DataFrame]:
+def middle(events: DataFrame) -> int:
+    """The event_id in the middle, found by counting: no rows come to the driver, as a sort with an offset would send them."""
+    at = F.col("event_id").cast("long").alias("at")
+    low, high, many = events.select(at).agg(F.min("at"), F.max("at"), F.count("at")).first()
+    return position_bound(events.select(at), low, high, many // 2 + 1, False)[0] if many else 0
+
+
+def appended(lines: DataFrame, path: str, folder: str) -> None:
+    """Appends the lines of ``lines`` (event_id, line) to the log at ``path``, in order: written by the executors, put one after another as bytes."""
+    parts = f"{folder}/lines-{uuid.uuid4().hex}"
+    lines.orderBy("event_id").select("line").write.option("lineSep", "\n").text(parts)
+    local = urlsplit(parts).path
+    with open(path, "ab") as log:
+        for name in sorted(n for n in os.listdir(local) if n.startswith("part-")):  # numbered in the order of the sort
+            with open(f"{local}/{name}", "rb") as part:
+                shutil.copyfileobj(part, log, 1 << 20)
+    shutil.rmtree(local)
+
+
+def watched(text: str, most: int | None = None) -> Callable[[SparkSession, str], DataFrame]:
     """The query on a watched log, read in several batches, rotated once and watched again by a new Watch.
 
     The log is a file where the driver runs, in the shared folder, as a tailed log is in one place.
@@ -216,34 +237,31 @@ def watched(text: str, most: int = 2_000_000) -> Callable[[SparkSession, str], D
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         folder = fresh_folder(spark, "watch")
-        events = spark.read.parquet(f"{sf_dir}/events.parquet").orderBy("event_id")
+        events = spark.read.parquet(f"{sf_dir}/events.parquet")
         lines = events.select("event_id", F.to_json(F.struct("event_id", "event_type", "value")).alias("line"))
         local = urlsplit(folder).path
         os.makedirs(local)
-        path, state, count = f"{local}/app.log", f"{local}/state", lines.count()
-
-        def appended(rows: DataFrame, torn: str) -> None:
-            with open(path, "a", encoding="utf-8") as file:
-                file.writelines(row.line + "\n" for row in rows.select("line").toLocalIterator())
-                file.write(torn)
-
-        half = lines.offset(count // 2).first()
-        split = half["event_id"] if half else 0
-        appended(lines.where(F.col("event_id") < split), '{"event_id":-1,')
-        Watch(spark, path, state=state, every=None, max_bytes=256 << 10)
+        path, state = f"{local}/app.log", f"{local}/state"
+        later = F.coalesce(F.col("event_id") >= middle(events), F.lit(False))  # no id is before all others
+        appended(lines.where(~later), path, folder)
+        with open(path, "a", encoding="utf-8") as file:
+            file.write('{"event_id":-1,')
+        # Eight batches, or as many as take 16 MB each: else they'd grow with the log.
+        batch = min(16 << 20, max(256 << 10, os.stat(path).st_size // 8))
+        Watch(spark, path, state=state, every=None, max_bytes=batch)
         # Lines that come after the torn one is completed, a rotation, and a restart.
         with open(path, "a", encoding="utf-8") as file:
             file.write("\n")
         os.rename(path, f"{path}.1")
-        appended(lines.where(F.col("event_id") >= split), "")
-        found = Watch(spark, path, state=state, every=None, max_events=most, max_bytes=1 << 20).query(text)
+        appended(lines.where(later), path, folder)
+        found = Watch(spark, path, state=state, every=None, max_events=most, max_bytes=max(1 << 20, batch)).query(text)
         return found if "raw" not in found.columns else found.select(F.try_variant_get("v", "$.event_id", "bigint").alias("event_id"))
 
     return run
 
 
-#: Over a watched log: (query text, newest events that count, whole SQL).
-WATCHED: dict[str, tuple[str, int, str]] = {
+#: Over a watched log: (query text, newest events that count (None: all), whole SQL).
+WATCHED: dict[str, tuple[str, int | None, str]] = {
     "watch_count": ("| count", 2_000_000, "SELECT count(*) AS count FROM events"),
     "watch_filter": ("event_type = error AND value > 100", 2_000_000, f"SELECT event_id FROM events WHERE event_type = 'error' AND {_F('value')} > {_F(100)}"),
     "watch_retained": ("event_type = view", 1000, "SELECT event_id FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 1000) WHERE event_type = 'view'"),

@@ -24,7 +24,7 @@ class Watch:
     thrown away or begun anew by itself. A checkpoint's range that is gone from the log raises too.
     """
 
-    def __init__(self, spark: SparkSession, path: str, time_field: str | None = None, state: str | None = None, every: str | None = "1 second", max_events: int = 2_000_000, strict: bool = False, max_bytes: int = 16 << 20):
+    def __init__(self, spark: SparkSession, path: str, time_field: str | None = None, state: str | None = None, every: str | None = "1 second", max_events: int | None = 2_000_000, strict: bool = False, max_bytes: int = 16 << 20):
         self.max_bytes = max_bytes
         self.spark, self.time_field, self.every, self.max_events, self.base = spark, time_field, every, max_events, state
         self._start(path, strict)
@@ -48,9 +48,9 @@ class Watch:
                 self.running.stop()
 
     def table(self) -> LogTable:
-        """All that is committed, malformed lines left out; the newest ``max_events`` count."""
+        """All that is committed, malformed lines left out; the newest ``max_events`` count (None: all)."""
         lines = self.spark.read.schema("_pos long, value string, valid boolean").parquet(f"{self.state}/lines").where("valid")
-        kept = retained(lines, self.max_events, ("_pos",))
+        kept = lines if self.max_events is None else retained(lines, self.max_events, ("_pos",))
         return LogTable(decoded(kept, self.time_field), self.time_field)
 
     def query(self, text: str) -> DataFrame:
