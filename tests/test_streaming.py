@@ -157,3 +157,15 @@ def test_watched_log_is_written_without_the_driver(spark, tmp_path, monkeypatch)
     found = queries()["watch_retained"](spark, folder)
     # The newest 1000 events; rows without an id are before all others.
     assert sorted(r.event_id for r in found.collect()) == [i for i in range(3000) if i % 100][-1000:]
+
+
+@pytest.mark.parametrize("name", ["watch_filter"])
+def test_whole_log_counts_where_the_sql_has_no_bound(spark, tmp_path, name):
+    from tracequarry.queries import WATCHED
+
+    path = tmp_path / "a.log"
+    path.write_text('{"event_type":"error","value":101}\n' * 3)
+    text, most, sql = WATCHED[name]
+    assert most is None and "LIMIT" not in sql
+    watch = Watch(spark, str(path), state=str(tmp_path / "state"), every=None, max_events=most)
+    assert watch.query("| count").first()[0] == 3 and watch.query(text).count() == (1 if "|" in text else 3)
