@@ -159,7 +159,7 @@ def test_watched_log_is_written_without_the_driver(spark, tmp_path, monkeypatch)
     assert sorted(r.event_id for r in found.collect()) == [i for i in range(3000) if i % 100][-1000:]
 
 
-@pytest.mark.parametrize("name", ["watch_filter"])
+@pytest.mark.parametrize("name", ["watch_filter", "watch_count"])
 def test_whole_log_counts_where_the_sql_has_no_bound(spark, tmp_path, name):
     from tracequarry.queries import WATCHED
 

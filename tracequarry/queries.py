@@ -262,7 +262,7 @@ def watched(text: str, most: int | None = None) -> Callable[[SparkSession, str],
 
 #: Over a watched log: (query text, newest events that count (None: all), whole SQL).
 WATCHED: dict[str, tuple[str, int | None, str]] = {
-    "watch_count": ("| count", 2_000_000, "SELECT count(*) AS count FROM events"),
+    "watch_count": ("| count", None, "SELECT count(*) AS count FROM events"),
     "watch_filter": ("event_type = error AND value > 100", None, f"SELECT event_id FROM events WHERE event_type = 'error' AND {_F('value')} > {_F(100)}"),
     "watch_retained": ("event_type = view", 1000, "SELECT event_id FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 1000) WHERE event_type = 'view'"),
 }
