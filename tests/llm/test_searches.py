@@ -201,3 +201,19 @@ def test_nn_descent_goes_on_until_settled(spark, monkeypatch):
     links = [(r["at"], r.node) for r in nn_descent.around(graph).collect()]
     beyond = {b for a, b in links if a in beam} - set(beam)
     assert len(beam) > 5 and all(unit[b] @ unit[700] <= min(beam.values()) + 1e-6 for b in beyond)
+
+
+def test_nn_descent_skips_pairs_that_met_before(spark, monkeypatch):
+    for name, value in {"DEGREE": 12, "TREES": 2, "BLOCK": 4, "REVERSE": 12, "GATHERED": 40}.items():
+        monkeypatch.setattr(nn_descent, name, value)
+    nodes, dimension = nn_descent.unit_nodes(table(spark, vectors(4, 400)), "vec_id", "embedding", 6)
+    graph, pairs, all_pairs, counts = nn_descent.first_graph(nodes, dimension, nodes.count()), None, None, []
+    for _ in range(3):
+        edges = nn_descent.edges_of(graph)
+        pairs = nn_descent.marked(edges, pairs)
+        all_pairs = nn_descent.marked(edges, None)
+        counts.append((pairs.where("new").count(), all_pairs.where("new").count()))
+        graph, whole = nn_descent.compared(graph, nodes, pairs), nn_descent.compared(graph, nodes, all_pairs)
+        rows = lambda g: sorted((r.node, r.other, round(r.near, 5), r.fresh) for r in nn_descent.edges_of(g).collect())
+        assert rows(graph) == rows(whole)
+    assert counts[0][0] == counts[0][1] and counts[2][0] < counts[2][1]

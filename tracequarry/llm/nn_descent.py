@@ -2,8 +2,8 @@
 
 Equal vectors share one node. Each node starts with near nodes of small random-hyperplane blocks.
 Then, round by round, each node joins its neighbours and some nodes that it is a neighbour of; all
-pairs that meet at a node are compared, and each node keeps its nearest, until a round changes few
-of the edges. Queries walk the graph: the best nodes of a query's beam that were not yet expanded
+pairs that meet at a node and didn't meet there in the round before are compared, and each node keeps
+its nearest, until a round changes few of the edges. Queries walk the graph: the best nodes of a query's beam that were not yet expanded
 give way to their neighbours, until the beam has none left. The nearest found are scored again in
 double precision.
 
@@ -34,6 +34,9 @@ DEGREE, TREES, BLOCK, REVERSE = 48, 6, 384, 48
 SETTLED = 0.001
 #: Beam of a query, nodes expanded a round.
 BEAM, EXPAND = 128, 32
+#: A node and edges of it; rows of a step in a worker, so many that numpy does the work.
+EDGES, GATHERED = "node long, other array<long>, near array<float>, fresh array<boolean>", 8192
+ARROW_EDGES = pa.schema([("node", pa.int64()), ("other", pa.list_(pa.int64())), ("near", pa.list_(pa.float32())), ("fresh", pa.list_(pa.bool_()))])
 
 
 def unit_nodes(table: DataFrame, id_col: str, vector_col: str, ids: int) -> tuple[DataFrame, int]:
@@ -63,16 +66,8 @@ def planes_of(dimension: int, bits: int) -> np.ndarray:
     return normal.reshape(TREES, bits, dimension).astype(np.float32)
 
 
-def nearest(edges: DataFrame, many: int) -> DataFrame:
-    """Each node's ``many`` nearest distinct neighbours; an edge is fresh if it is so wherever it occurs."""
-    # Dealt by node once, for both the edges that occur several times and the ranking.
-    best = edges.repartition("node").groupBy("node", "other").agg(F.max("near").alias("near"), F.min("fresh").alias("fresh"))
-    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("near"), "other"))
-    return best.withColumn("place", place).where(F.col("place") <= many).drop("place")
-
-
 def first_graph(nodes: DataFrame, dimension: int, count: int) -> DataFrame:
-    """node, other, near, fresh: neighbours within random-hyperplane blocks; a large block is dealt into several."""
+    """node, and arrays other, near, fresh: neighbours within random-hyperplane blocks; a large block is dealt into several."""
     bits = max(0, math.ceil(math.log2(max(1, count) / BLOCK)))
     planes = planes_of(dimension, max(bits, 1))
 
@@ -95,30 +90,106 @@ def first_graph(nodes: DataFrame, dimension: int, count: int) -> DataFrame:
         np.fill_diagonal(near, -2)
         k = min(kept, len(names) - 1)
         best = np.argpartition(-near, k - 1, axis=1)[:, :k] if k > 0 else np.zeros((len(names), 0), np.int64)
-        return pa.table({"node": np.repeat(names, k), "other": names[best.ravel()], "near": np.take_along_axis(near, best, 1).ravel()})
+        return best_of(np.repeat(names, k), names[best.ravel()], np.take_along_axis(near, best, 1).ravel(), np.ones(len(names) * k, bool))
+
+    return packed(placed.groupBy("tree", "code", "cut").applyInArrow(compare, EDGES))
 
-    found = placed.groupBy("tree", "code", "cut").applyInArrow(compare, "node long, other long, near float")
-    return stash(nearest(found.withColumn("fresh", F.lit(True)), DEGREE), "graph")
 
+def edges_of(graph: DataFrame) -> DataFrame:
+    """node, other, near, fresh: one row an edge."""
+    return graph.select("node", F.inline(F.arrays_zip("other", "near", "fresh")))
 
-def around(graph: DataFrame) -> DataFrame:
+
+def around(edges: DataFrame) -> DataFrame:
     """at, node: each node's neighbours, and some that it is a neighbour of (the nearest of these); a pair may come twice."""
-    back = graph.withColumn("place", F.row_number().over(W.partitionBy("other").orderBy(F.desc("near"), "node"))).where(F.col("place") <= REVERSE)
-    return graph.select(F.col("node").alias("at"), F.col("other").alias("node")).union(back.select(F.col("other").alias("at"), "node"))
+    back = edges.withColumn("place", F.row_number().over(W.partitionBy("other").orderBy(F.desc("near"), "node"))).where(F.col("place") <= REVERSE)
+    return edges.select(F.col("node").alias("at"), F.col("other").alias("node")).union(back.select(F.col("other").alias("at"), "node"))
+
+
+def marked(edges: DataFrame, before: DataFrame | None) -> DataFrame:
+    """at, node, new, live: the pairs of ``around``; new: not among those of ``before``; live: its ``at`` has a new one."""
+    pairs = around(edges).withColumn("new", F.lit(True))
+    if before is not None:
+        pairs = pairs.union(before.select("at", "node", F.lit(False)))
+    # Dealt by at once, for both the comparison with the pairs before and the groups.
+    pairs = pairs.repartition("at").groupBy("at", "node").agg(F.min("new").alias("new"), F.max("new").alias("now")).where("now").drop("now")
+    return stash(pairs.withColumn("live", F.max("new").over(W.partitionBy("at"))), "pairs")
+
+
+def best_of(node: np.ndarray, other: np.ndarray, near: np.ndarray, fresh: np.ndarray) -> pa.Table:
+    """node, other, near, fresh (arrays): each node's DEGREE nearest distinct others; an edge is fresh if it is so wherever it occurs."""
+    if not len(node):
+        return ARROW_EDGES.empty_table()
+    order = np.lexsort((other, node))
+    node, other, near, fresh = node[order], other[order], near[order], fresh[order]
+    first = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (other[1:] != other[:-1])]))
+    node, other, near, fresh = node[first], other[first], np.maximum.reduceat(near, first), np.logical_and.reduceat(fresh, first)
+    order = np.lexsort((other, -near, node))
+    node, other, near, fresh = node[order], other[order], near[order], fresh[order]
+    first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+    size = np.diff(np.append(first, len(node)))
+    kept = np.arange(len(node)) - np.repeat(first, size) < DEGREE
+    offsets = pa.array(np.concatenate([[0], np.cumsum(np.minimum(size, DEGREE))]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x[kept])) for x in (other, near, fresh)]
+    return pa.table([pa.array(node[first]), *lists], ARROW_EDGES)
+
+
+def gathered(batches, rows: int):
+    """The batches as tables of at least ``rows`` rows (but the last)."""
+    held, many = [], 0
+    for batch in batches:
+        held.append(batch)
+        many += batch.num_rows
+        if many >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, many = [], 0
+    if many:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def packed(found: DataFrame) -> DataFrame:
+    """The nearest edges of each node, of rows that hold some of them (node and arrays)."""
+
+    def merge(batches):
+        held = None
+        for table in gathered(batches, GATHERED):
+            table = table.cast(ARROW_EDGES)  # Spark's lists may say that they hold no nulls
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            lists = [table.column(c).combine_chunks() for c in ("other", "near", "fresh")]
+            lists = [pa.concat_arrays(x.chunks) if isinstance(x, pa.ChunkedArray) else x for x in lists]
+            node = np.repeat(table.column("node").to_numpy(), lists[0].value_lengths().to_numpy())
+            best = best_of(node, *(x.flatten().to_numpy(zero_copy_only=False) for x in lists))
+            # The last node may go on in the next rows; it has at most DEGREE edges now.
+            held = best.slice(max(0, best.num_rows - 1))
+            yield from best.slice(0, max(0, best.num_rows - 1)).to_batches()
+        if held is not None:
+            yield from held.to_batches()
+
+    found = found.repartition("node").sortWithinPartitions("node")
+    return stash(found.mapInArrow(merge, EDGES), "graph")
 
 
 def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One round: neighbours of a node are compared with one another; each node keeps its nearest. Edges that it had not are fresh."""
-    least = graph.groupBy("node").agg(F.when(F.count("*") >= DEGREE, F.min("near")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
-    met = around(graph).join(nodes.select("node", "unit").join(least, "node"), "node")
-    met = met.repartition("at").sortWithinPartitions("at", "node")
+    """One round that compares all pairs, of and to one row an edge."""
+    lists = graph.select("node", *(F.array(c).alias(c) for c in ("other", "near", "fresh")))
+    return edges_of(compared(packed(lists), nodes, marked(graph, None)))
+
+
+def compared(graph: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One round: neighbours of a node are compared with one another; each node keeps its nearest. Edges that it had not are fresh.
+
+    Two nodes that met at the same node in the last round were compared then, and what a node keeps only
+    gets nearer, so only comparisons with a new one can change the graph.
+    """
+    least = graph.select("node", F.when(F.size("near") >= DEGREE, F.array_min("near")).otherwise(F.lit(-2.0)).cast("float").alias("least"))
+    # Many short rows in small files: never broadcast through the driver.
+    met = pairs.where("live").select("at", "node", "new").hint("merge").join(nodes.select("node", "unit").join(least, "node"), "node")
+    met = met.repartition("at").sortWithinPartitions("at")
 
     def run(batches):
         held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            if not table.num_rows:
-                continue
+        for table in gathered(batches, GATHERED):
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             at = table.column("at").to_numpy()
             cut = int(np.searchsorted(at, at[-1]))  # the last group may go on
             held = table.slice(cut)
@@ -129,37 +200,44 @@ def descend(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     def compare(table: pa.Table):
         if not table.num_rows:
             return
-        at, names, least = table.column("at").to_numpy(), table.column("node").to_numpy(), table.column("least").to_numpy()
-        once = np.concatenate([[True], (at[1:] != at[:-1]) | (names[1:] != names[:-1])])
-        at, names, least = at[once], names[once], least[once]
-        x = bytes_matrix(table.column("unit"), np.float32)[once]
+        at, names, least, new = (table.column(c).to_numpy() for c in ("at", "node", "least", "new"))
+        x = bytes_matrix(table.column("unit"), np.float32)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         size = np.diff(np.append(first, len(at)))
-        for k in range(0, len(first), 256):
-            f, s = first[k : k + 256], size[k : k + 256]
+        parts = []
+        for k in range(0, len(first), 64):
+            f, s = first[k : k + 64], size[k : k + 64]
             width = int(s.max())
             place = np.minimum(f[:, None] + np.arange(width), len(at) - 1)
             live = np.arange(width) < s[:, None]
             block = x[place]
             near = block @ block.transpose(0, 2, 1)
-            near[~(live[:, :, None] & live[:, None, :])] = -3
-            near[:, np.arange(width), np.arange(width)] = -3
-            g, i, j = np.nonzero(near > np.where(live, least[place], 3)[:, :, None])
-            yield pa.RecordBatch.from_arrays([pa.array(names[place[g, i]]), pa.array(names[place[g, j]]), pa.array(near[g, i, j])], ["node", "other", "near"])
+            fresh = live & new[place]
+            better = (near > np.where(live, least[place], 3)[:, :, None]) & live[:, None, :] & (fresh[:, :, None] | fresh[:, None, :])
+            better[:, np.arange(width), np.arange(width)] = False
+            g, i, j = np.nonzero(better)
+            parts.append((names[place[g, i]], names[place[g, j]], near[g, i, j]))
+        node, other, near = (np.concatenate(c) for c in zip(*parts))
+        yield from best_of(node, other, near, np.ones(len(node), bool)).to_batches()
 
-    found = met.select("at", "node", "unit", "least").mapInArrow(run, "node long, other long, near float")
-    both = graph.select("node", "other", "near", F.lit(False).alias("fresh")).union(found.withColumn("fresh", F.lit(True)))
-    return stash(nearest(both, DEGREE), "graph")
+    found = met.select("at", "node", "unit", "least", "new").mapInArrow(run, EDGES)
+    old = graph.select("node", "other", "near", F.transform("fresh", lambda _: F.lit(False)).alias("fresh"))
+    return packed(old.union(found))
 
 
 def build_graph(nodes: DataFrame, dimension: int) -> DataFrame:
-    graph = first_graph(nodes, dimension, nodes.count())
+    """node, other, near, fresh: the graph after the rounds, one row an edge."""
+    graph, pairs = first_graph(nodes, dimension, nodes.count()), None
     while True:
-        before, graph = graph, descend(graph, nodes)
+        before, pairs = pairs, marked(edges_of(graph), pairs)
+        if before is not None:
+            discard(before)
+        before, graph = graph, compared(graph, nodes, pairs)
         discard(before)
-        fresh, edges = graph.agg(F.count_if("fresh"), F.count("*")).first()
-        if fresh <= SETTLED * edges:
-            return graph
+        fresh, edges = graph.agg(F.sum(F.size(F.filter("fresh", lambda x: x))), F.sum(F.size("fresh"))).first()
+        if (fresh or 0) <= SETTLED * (edges or 0):
+            discard(pairs)
+            return edges_of(graph)
 
 
 @F.pandas_udf(T.FloatType())
